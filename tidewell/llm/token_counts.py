@@ -1,0 +1,149 @@
+"""Token counts of a byte-level BPE vocabulary, with the whole-token shortcut.
+
+Which strings of the vocabulary encode alone as their own single token is proved
+once, by merging each of them. A pre-token of that set counts as one without any
+merging; all others are merged, once for each distinct string that a worker
+meets.
+"""
+
+from __future__ import annotations
+
+import base64
+from collections import Counter
+from functools import lru_cache
+
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Pre-tokens of the byte-level vocabularies: contractions, words, numbers, other signs, white space.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Distinct merged strings that a worker remembers.
+_REMEMBERED = 2_000_000
+#: Beyond this many bytes, a pre-token is merged by the heap instead of by repeated scans.
+_LONG = 64
+
+
+@lru_cache(2)
+def ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary's byte strings and their ranks."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def merge(piece: bytes, rank: dict[bytes, int]) -> list[bytes]:
+    """The tokens of a pre-token: the adjacent pair of lowest rank is merged, leftmost first, until none is in the vocabulary."""
+    if len(piece) > _LONG:
+        return _merge_long(piece, rank)
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            r = rank.get(parts[i] + parts[i + 1])
+            if r is not None and (best is None or r < best):
+                best, at = r, i
+        if best is None:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def _merge_long(piece: bytes, rank: dict[bytes, int]) -> list[bytes]:
+    """`merge` by a heap of pairs over a linked list, for pre-tokens of any length."""
+    import heapq
+
+    n = len(piece)
+    end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    alive = [True] * n
+
+    def pair(i: int) -> tuple | None:
+        j = right[i]
+        r = rank.get(piece[i : end[j]]) if j < n else None
+        return None if r is None else (r, i, end[i], end[j])
+
+    heap = [p for i in range(n) if (p := pair(i))]
+    heapq.heapify(heap)
+    while heap:
+        _, i, mid, stop = heapq.heappop(heap)
+        j = right[i] if alive[i] else n
+        if j >= n or end[i] != mid or end[j] != stop:
+            continue
+        alive[j], end[i], right[i] = False, stop, right[j]
+        if right[i] < n:
+            left[right[i]] = i
+        for k in (i, left[i]):
+            if k >= 0 and (p := pair(k)):
+                heapq.heappush(heap, p)
+    return [piece[i : end[i]] for i in range(n) if alive[i]]
+
+
+@lru_cache(2)
+def proved(path: str) -> frozenset[str]:
+    """Vocabulary strings that encode alone as one token: merging them ends in the string itself.
+
+    Only strings that are whole characters can equal a pre-token of a text.
+    """
+    rank, out = ranks(path), []
+    for token in rank:
+        try:
+            text = token.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if merge(token, rank) == [token]:
+            out.append(text)
+    return frozenset(out)
+
+
+class Counting:
+    """Counts tokens of texts; remembers merged pre-tokens."""
+
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        self.rank, self.pattern = ranks(path), regex.compile(PATTERN)
+        self.whole = dict.fromkeys(proved(path) if whole is None else whole, 1)
+        self.merged: dict[str, int] = {}
+
+    def count(self, text: str | None) -> tuple[int, int, int]:
+        """(tokens, pre-tokens, pre-tokens counted by the shortcut) of a text."""
+        tokens = total = direct = 0
+        whole, merged = self.whole, self.merged
+        for piece, n in Counter(self.pattern.findall(text or "")).items():
+            total += n
+            if piece in whole:
+                direct += n
+                tokens += n
+                continue
+            size = merged.get(piece)
+            if size is None:
+                if len(merged) >= _REMEMBERED:
+                    merged.clear()
+                size = merged[piece] = len(merge(piece.encode("utf-8", "surrogatepass"), self.rank))
+            tokens += n * size
+        return tokens, total, direct
+
+
+_COUNTING: dict[str, Counting] = {}
+
+
+def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, n_pretokens, n_whole): the tokens of each row's whole text.
+
+    n_whole is the number of pre-tokens that the shortcut counted. A null or
+    empty text has none of any; special tokens' strings are ordinary text. Each
+    row is counted on its own: null or repeated ids are reported as they come.
+    An empty table gives no rows. The vocabulary file must be at `path` on
+    every machine; the set of proved strings is sent to them.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(proved(path))
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_pretokens", "n_whole")]))
+    def counted(text: pa.Array) -> pa.Array:
+        if path not in _COUNTING:
+            _COUNTING[path] = Counting(path, sent.value)
+        count = _COUNTING[path].count
+        rows = [count(t) for t in text.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["n_tokens", "n_pretokens", "n_whole"])
+
+    return docs.select("doc_id", counted("text").alias("c")).select("doc_id", "c.n_tokens", "c.n_pretokens", "c.n_whole")
