@@ -248,7 +248,17 @@ def pq_top_k(queries: DataFrame, codes: DataFrame, model: Product, k: int, query
     return top_k_by(q.repartition(F.col("query_id")).crossJoin(blocks).mapInArrow(run, _PAIRS_SQL), ["query_id"], k)
 
 
-def ivf_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 6, sample: int = 20_000, vec: str = "embedding") -> DataFrame:
+def pq_search(queries: DataFrame, corpus: DataFrame, model: Product, k: int, over: int = 20, vec: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, score, rank): `over` times k candidates by distance tables, then ranked by their exact cosine."""
+    from tidewell.functions.vectors import cosine
+
+    found = pq_top_k(queries, pq_encode(corpus, model, vec=vec), model, over * k + 1, vec=vec).where("query_id <> vec_id").select("query_id", "vec_id")
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col(vec).alias("q"))
+    both = found.join(q, "query_id").join(corpus.select("vec_id", F.col(vec).alias("v")), "vec_id")
+    return top_k_by(both.select("query_id", "vec_id", F.round(cosine("q", "v"), 9).alias("score")), ["query_id"], k)
+
+
+def ivf_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 12, sample: int = 20_000, vec: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank), approximately: a query meets the vectors of its `probes` nearest of `cells` cells.
 
     Cells are k-means centres of a bounded sample. Queries and vectors meet by a

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import ingest, search  # noqa: F401
+from tidewell.plans import answers, flows, graph, ingest, search  # noqa: F401
 from tidewell.plans.base import QUERIES, SQL, Query
 
 

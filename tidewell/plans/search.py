@@ -138,7 +138,7 @@ def pq_encode(t):
 @query()
 def pq_topk(t):
     model = search.Product(search.training_sample(t.embeddings, 20_000))
-    return search.pq_top_k(t.embeddings, search.pq_encode(t.embeddings, model), model, 10).withColumn("score", F.round("score", 6))
+    return search.pq_search(t.embeddings, t.embeddings, model, 10).withColumn("score", F.round("score", 6))
 
 
 TERMS = "list_filter(regexp_extract_all(lower(COL), '[\\p{L}\\p{Nd}]+'), lambda w: w NOT IN (" + STOP_SQL + "))"
