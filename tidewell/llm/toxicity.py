@@ -35,7 +35,7 @@ SPAN, DECAY, SIZE, LONGEST, STEP = 6, 0.7, 64, 16, 8
 LABELLED, CLEAN_UNITS, HARD_UNITS, LANDMARKS, ROUNDS = 10_000, 20_000, 5_000, 300, 4
 _EDGE = (62, 63)
 _ABC = re.compile(r"[^\W\d_]+")
-_KNOWN = 1_500_000
+_KNOWN = 200_000
 
 
 def codes(units: list[str]) -> np.ndarray:
@@ -55,13 +55,17 @@ def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
 
 
-def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, weights, kernel with itself) of units of one length: a row of keys each, one weight for a column."""
+def keys_of(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, weights, places spanned) of the subsequences of units of one length: a row of keys each, one weight for a column."""
     c = codes(units)
     i, j, k, weight = places(c.shape[1])
-    keys = (c[:, i] * SIZE + c[:, j]) * SIZE + c[:, k]
-    own = np.full(len(units), float(weight @ weight))
-    packed = np.sort(keys * 8 + (k - i), axis=1)
+    return (c[:, i] * SIZE + c[:, j]) * SIZE + c[:, k], weight, k - i
+
+
+def own_kernel(keys: np.ndarray, weight: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Kernel of each row with itself: the weights' squares, and twice the products of weights whose keys are equal."""
+    own = np.full(len(keys), float(weight @ weight))
+    packed = np.sort(keys * 8 + span, axis=1)
     some = np.flatnonzero((packed[:, 1:] >> 3 == packed[:, :-1] >> 3).any(axis=1))
     if len(some):
         key, w = packed[some] >> 3, DECAY ** ((packed[some] & 7) + 1)
@@ -70,7 +74,7 @@ def subsequences(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if not same.any():
                 break
             own[some] += 2 * (same * w[:, d:] * w[:, :-d]).sum(axis=1)
-    return keys, weight, own
+    return own
 
 
 def _by_length(units: list[str], step: int):
@@ -88,7 +92,10 @@ class Landmarks:
     """Normalised subsequence vectors of a few units, over the keys that occur in them."""
 
     def __init__(self, units: list[str]):
-        parts = [(at, *subsequences(run)) for at, run in _by_length(units, 1024)]
+        parts = []
+        for at, run in _by_length(units, 1024):
+            keys, weight, span = keys_of(run)
+            parts.append((at, keys, weight, own_kernel(keys, weight, span)))
         self.keys = np.unique(np.concatenate([keys.ravel() for _, keys, _, _ in parts]))
         self.column = np.full(SIZE**3, len(self.keys), np.int32)
         self.column[self.keys] = np.arange(len(self.keys))
@@ -100,7 +107,8 @@ class Landmarks:
         """Normalised kernel of each unit against each landmark."""
         out = np.empty((len(units), self.vectors.shape[1]))
         for at, run in _by_length(units, 256):
-            keys, weight, own = subsequences(run)
+            keys, weight, span = keys_of(run)
+            own = own_kernel(keys, weight, span)
             out[at] = np.einsum("k,nkm->nm", weight, self.vectors[self.column[keys]], optimize=True) / np.sqrt(own)[:, None]
         return out
 
@@ -111,12 +119,22 @@ class Landmarks:
         return out
 
 
-def against(units: list[str], table: np.ndarray) -> np.ndarray:
-    """Sum of a folded table over the normalised subsequences of each unit."""
+def against(units: list[str], table: np.ndarray, above: float = -np.inf) -> np.ndarray:
+    """Sum of a folded table over the normalised subsequences of each unit.
+
+    A unit's kernel with itself is at least its weights' squares, so without it
+    the sum is known up to an upper bound; where that isn't beyond `above`, the
+    bound is returned, and the sum proper everywhere else.
+    """
     out = np.empty(len(units))
-    for at, run in _by_length(units, 8192):
-        keys, weight, own = subsequences(run)
-        out[at] = (table[keys] @ weight) / np.sqrt(own)
+    for at, run in _by_length(units, 4096):
+        keys, weight, span = keys_of(run)
+        total = (table[keys] @ weight).astype(float)
+        value = np.maximum(total, 0) / np.sqrt(float(weight @ weight))
+        near = np.flatnonzero(value > above)
+        if len(near):
+            value[near] = total[near] / np.sqrt(own_kernel(keys[near], weight, span))
+        out[at] = value
     return out
 
 
@@ -128,8 +146,9 @@ class Machine:
     offset: float
     limit: float = 0.0
 
-    def scores(self, units: list[str]) -> np.ndarray:
-        return against(units, self.table) + self.offset if units else np.zeros(0)
+    def scores(self, units: list[str], above: float = -np.inf) -> np.ndarray:
+        """Scores; those that can't exceed `above` may be replaced by an upper bound that doesn't either."""
+        return against(units, self.table, above - self.offset) + self.offset if units else np.zeros(0)
 
 
 def _squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -138,9 +157,14 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     eye = ridge * np.eye(z.shape[1])
     eye[-1, -1] = 1e-6
     for _ in range(30):
-        inside = y * (z @ w) < 1
-        a, c = z[inside], weight[inside]
-        new = np.linalg.solve(a.T @ (a * c[:, None]) + eye, a.T @ (c * y[inside]))
+        gram, side = eye.copy(), np.zeros(z.shape[1])
+        for i in range(0, len(z), 4096):
+            part = z[i : i + 4096].astype(float)
+            inside = y[i : i + 4096] * (part @ w) < 1
+            a, c = part[inside], weight[i : i + 4096][inside]
+            gram += a.T @ (a * c[:, None])
+            side += a.T @ (c * y[i : i + 4096][inside])
+        new = np.linalg.solve(gram, side)
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
@@ -168,7 +192,7 @@ def train(bags: list[list[str]], clean: list[str], landmarks: int = LANDMARKS, r
     values, vectors = np.linalg.eigh(base.kernel(marks))
     keep = values > 1e-6
     white = vectors[:, keep] / np.sqrt(values[keep])
-    mapped = lambda units: np.concatenate((base.kernel(units) @ white, np.ones((len(units), 1))), axis=1)
+    mapped = lambda units: np.concatenate((base.kernel(units) @ white, np.ones((len(units), 1))), axis=1, dtype=np.float32)
     z_clean = mapped(clean)
     # A unit of one bag alone is no evidence when trained on first; those that several documents share are.
     index = {u: i for i, u in enumerate(often)}
@@ -229,37 +253,46 @@ def _units(text: pa.Array) -> pa.Array:
     return pa.array([sorted({u for w in tokens(t or "") for u in units_of(w)}) for t in text.to_pylist()], pa.list_(pa.string()))
 
 
-_SCORES: dict[int, dict[str, float]] = {}
+#: By machine: token scores of the running and of the last generation, kept by each worker for all its tasks.
+_SCORES: dict[tuple, list[dict[str, float]]] = {}
 
 
-def _token_scores(machine: Machine, key: int, found: list[set[str]]) -> dict[str, float]:
-    """Scores by token, kept by worker for all tasks of one machine."""
-    known = _SCORES.get(key)
-    if known is None or len(known) > _KNOWN:
+def _token_scores(machine: Machine, key: tuple, found: list[set[str]], above: float = -np.inf) -> dict[str, float]:
+    """Scores by token, of at least those that occur in `found`."""
+    if key not in _SCORES:
         _SCORES.clear()
-        known = _SCORES[key] = {}
-    new = list(set().union(*found) - known.keys())
+        _SCORES[key] = [{}, {}]
+    known, last = _SCORES[key]
+    if len(known) > _KNOWN:
+        known, last = _SCORES[key] = [{}, known]
+    new = []
+    for t in set().union(*found) - known.keys():
+        if (s := last.get(t)) is None:
+            new.append(t)
+        else:
+            known[t] = s
     units = [units_of(t) for t in new]
     flat = list({u for us in units for u in us})
-    score = dict(zip(flat, machine.scores(flat).tolist(), strict=True))
+    score = dict(zip(flat, machine.scores(flat, above).tolist(), strict=True))
     for t, us in zip(new, units, strict=True):
         known[t] = max((score[u] for u in us), default=-9.0)
     return known
 
 
-def _scored(machine, key: int):
-    """Score of a text: its highest token's, -9 without any; and that token."""
+def _scored(machine, key: int, above: float = -np.inf):
+    """Score of a text: its highest token's, -9 without any; and that token. Scores that can't exceed `above` may be upper bounds that don't either."""
 
     @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("worst", T.StringType())]))
     def score(text: pa.Array) -> pa.Array:
-        out, texts = [], text.to_pylist()
+        scores, worst, texts = [], [], text.to_pylist()
         for i in range(0, len(texts), 64):
             found = [tokens(t or "") for t in texts[i : i + 64]]
-            known = _token_scores(machine.value, key, found)
+            known = _token_scores(machine.value, (key, above), found, above)
             for f in found:
                 top = max(map(known.__getitem__, f), default=-9.0)
-                out.append((top, min((t for t in f if known[t] == top), default=None) if top > -1 else None))
-        return pa.array([{"score": s, "worst": w} for s, w in out], pa.struct([("score", pa.float64()), ("worst", pa.string())]))
+                scores.append(top)
+                worst.append(min((t for t in f if known[t] == top), default=None) if top > above else None)
+        return pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(worst, pa.string())], ["score", "worst"])
 
     return score
 
@@ -313,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Machine
 
 def _with_score(docs: DataFrame, machine: Machine) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    return docs.withColumn("__tw_tox", _scored(sent, hash(machine.table.tobytes()))("text"))
+    return docs.withColumn("__tw_tox", _scored(sent, hash(machine.table.tobytes()), machine.limit)("text"))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, machine: Machine | None = None) -> DataFrame:
