@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import terms
+from tidewell.session import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, terms, dl): indexed terms of each document and their number, without a shuffle."""
-    t = docs.select(F.col(id_col).alias("doc_id"), terms(text_col).alias("terms")).where("terms is not null")
+    t = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), terms(text_col).alias("terms"))
     return t.withColumn("dl", F.size("terms").cast("long"))
 
 
@@ -39,10 +40,12 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_
     `own`, the group is the one query that searches it (a candidate list).
     """
     group = [by] if by else []
-    indexed = docs.select(F.col("doc_id"), *group, terms("text").alias("terms")).where("terms is not null").withColumn("dl", F.size("terms").cast("long"))
+    indexed = docs.where("text is not null").select(F.col("doc_id"), *group, terms("text").alias("terms")).withColumn("dl", F.size("terms").cast("long"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     wanted = asked.select("term").distinct()
     tf = indexed.select("doc_id", *group, "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy(*group, "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    # Read twice below; what is written holds the queries' terms alone.
+    tf = written(tf, "postings")
     df = tf.groupBy(*group, "term").agg(F.count("*").alias("df"))
     stats = indexed.groupBy(*group).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     idf = df.join(stats, group) if by else df.crossJoin(stats)
