@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewell.session import written
 
-#: Vectors in a block of the all-pairs product.
-BLOCK = 2048
+#: Vectors in a block of the all-pairs product, of queries and of the corpus.
+BLOCK, CORPUS_BLOCK = 4096, 8192
 _PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 _PAIRS_SQL = "query_id long, vec_id long, score double"
 
@@ -30,12 +30,13 @@ def top_k_by(df: DataFrame, by: list[str], k: int, score: str = "score", tie: st
 
 
 def _blocks(vectors: DataFrame, id_col: str, vec_col: str, side: str) -> DataFrame:
-    """Vectors of one dimension packed into blocks of about BLOCK: (block, ids, values) as bytes, values scaled to norm 1."""
+    """Vectors of one dimension packed into blocks: (dim, ids, values) as bytes, values scaled to norm 1."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            size = BLOCK if side == "q" else CORPUS_BLOCK
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
                 sizes = np.asarray(pa.compute.list_value_length(part.column(1)))
                 for dim in np.unique(sizes):
                     own = part.filter(pa.array(sizes == dim))
@@ -50,35 +51,46 @@ def _blocks(vectors: DataFrame, id_col: str, vec_col: str, side: str) -> DataFra
     return rows.mapInArrow(pack, f"{side}_dim int, {side}_ids binary, {side}_values binary")
 
 
+def _crossed(q: DataFrame, c: DataFrame) -> DataFrame:
+    """Every block of queries with every block of the corpus, a task for each of the former.
+
+    There is no key to shuffle by: the planner broadcasts the corpus where it is
+    small, and else lets each pair of partitions meet without writing the pairs.
+    """
+    return q.repartition(max(1, q.count())).crossJoin(c)
+
+
 def batch_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "vec_id", vec_id: str = "vec_id", vec: str = "embedding", min_score: float = 0.0, same: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best cosines of every query, exactly.
 
     Both sides are packed into blocks, every pair of blocks is one matrix
     product, and of each pair only k rows a query go on, so that what is
-    shuffled is (queries x corpus blocks x k) rows and not all pairs. With
-    `same`, a vector may find itself; otherwise equal ids are left out.
+    shuffled is (queries x corpus blocks x k) rows and not all pairs. Vectors of
+    different dimensions don't meet. With `same`, a vector may find itself;
+    otherwise equal ids are left out.
     """
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["q_dim"]
-                qi, ci = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "c_ids"))
-                q, c = (np.frombuffer(row[x]).reshape(-1, dim) for x in ("q_values", "c_values"))
-                s = q @ c.T
-                if not same:
-                    s[qi[:, None] == ci[None, :]] = -np.inf
-                s = np.where(s >= min_score, s, -np.inf)
-                rounded = np.round(s, 9)
-                # Ties at the cut are all kept here; the final rank decides by id.
-                cut = np.partition(rounded, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                a, b = np.nonzero((rounded >= cut[:, None]) & np.isfinite(s))
-                yield pa.record_batch([pa.array(qi[a]), pa.array(ci[b]), pa.array(s[a, b])], schema=_PAIRS)
+                if dim != row["c_dim"]:
+                    continue
+                ids, ci = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "c_ids"))
+                queries, c = (np.frombuffer(row[x]).reshape(-1, dim) for x in ("q_values", "c_values"))
+                for at in range(0, len(ids), 512):
+                    qi, s = ids[at : at + 512], queries[at : at + 512] @ c.T
+                    if not same:
+                        s[qi[:, None] == ci[None, :]] = -np.inf
+                    s = np.where(s >= min_score, s, -np.inf)
+                    rounded = np.round(s, 9)
+                    # Ties at the cut are all kept here; the final rank decides by id.
+                    cut = np.partition(rounded, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    a, b = np.nonzero((rounded >= cut[:, None]) & np.isfinite(s))
+                    yield pa.record_batch([pa.array(qi[a]), pa.array(ci[b]), pa.array(s[a, b])], schema=_PAIRS)
 
     q, c = written(_blocks(queries, query_id, vec, "q"), "query-blocks"), written(_blocks(corpus, vec_id, vec, "c"), "corpus-blocks")
-    # Pairs of blocks are spread by a shuffle of their contents, not by the files that they come from.
-    pairs = q.join(c, F.col("q_dim") == F.col("c_dim")).repartition(F.xxhash64("q_ids", "c_ids"))
-    found = pairs.mapInArrow(product, _PAIRS_SQL)
+    found = _crossed(q, c).mapInArrow(product, _PAIRS_SQL)
     return top_k_by(found.withColumn("score", F.round("score", 9)), ["query_id"], k)
 
 
@@ -100,11 +112,11 @@ def item_scores(queries: DataFrame, corpus: DataFrame, item: str, top: int = 3,
                 columns = [pa.array(ids), pa.array([row["item"]] * len(ids), pa.int64()), pa.array(list(best)), pa.array(s.sum(axis=1)), pa.array([s.shape[1]] * len(ids), pa.int64())]
                 yield pa.record_batch(columns, names=["query_id", "item", "best", "total", "n"])
 
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, corpus.count() // (4 * BLOCK)))).alias("salt")
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, corpus.count() // CORPUS_BLOCK))).alias("salt")
     rows = corpus.where(F.size(vec) > 0).select(F.col(item).cast("long").alias("item"), salt, F.col(vec).cast("array<double>").alias("v"))
     c = written(rows.groupBy("item", "salt").applyInArrow(pack, "item long, c binary"), "items")
     q = written(_blocks(queries, "vec_id", vec, "q"), "query-blocks")
-    parts = q.crossJoin(c).repartition(F.xxhash64("q_ids", "c")).mapInArrow(run, schema)
+    parts = _crossed(q, c).mapInArrow(run, schema)
     merged = parts.groupBy("query_id", "item").agg(F.flatten(F.collect_list("best")).alias("best"), F.sum("total").alias("total"), F.sum("n").alias("n"))
     first = F.slice(F.sort_array("best", asc=False), 1, top)
     mean = F.aggregate(first, F.lit(0.0), lambda a, x: a + x) / F.size(first)
@@ -112,7 +124,7 @@ def item_scores(queries: DataFrame, corpus: DataFrame, item: str, top: int = 3,
 
 
 def mean_distance(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
-    """One row (n_pairs, mean_l2): the mean Euclidean distance of all pairs of vectors."""
+    """One row (n_pairs, mean_l2): the mean Euclidean distance of all pairs of vectors of one dimension; ids must be unique."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,6 +136,8 @@ def mean_distance(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                if row["dim"] != row["other_dim"]:
+                    continue
                 a, b = (np.frombuffer(row[x]).reshape(-1, row["dim"]) for x in ("v", "w"))
                 total, n = 0.0, 0
                 for i in range(0, len(a), 256):
@@ -135,8 +149,8 @@ def mean_distance(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
 
     rows = vectors.where(F.size(vec) > 0).select(F.col("vec_id").cast("long"), F.col(vec).cast("array<double>"))
     blocks = written(rows.mapInArrow(pack, "first long, dim int, v binary"), "blocks")
-    other = blocks.select(F.col("first").alias("other"), "dim", F.col("v").alias("w"))
-    sums = blocks.join(other, "dim").where("first <= other").repartition(F.xxhash64("first", "other")).mapInArrow(run, "total double, n long")
+    other = blocks.select(F.col("first").alias("other"), F.col("dim").alias("other_dim"), F.col("v").alias("w"))
+    sums = _crossed(blocks, other).where("first <= other").mapInArrow(run, "total double, n long")
     return sums.agg(F.sum("n").alias("n_pairs"), (F.sum("total") / F.sum("n")).alias("mean_l2"))
 
 
