@@ -70,7 +70,8 @@ def signatures(texts: list) -> list[dict | None]:
 
 @F.arrow_udf(T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _signed(text: pa.Array) -> pa.Array:
-    return pa.array(signatures(text.to_pylist()), _SIGNED)
+    parts = [pa.array(signatures(text.slice(i, 256).to_pylist()), _SIGNED) for i in range(0, len(text), 256)]
+    return pa.concat_arrays(parts) if parts else pa.array([], _SIGNED)
 
 
 @F.arrow_udf(T.DoubleType())
@@ -131,8 +132,13 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.55) -> DataFrame:
     Rows that repeat both id and text are one document: one of them stays. Rows
     with a null id can't be told apart by id; they stay as they are.
     """
-    gone = near_duplicates(docs, threshold=threshold).select(F.col("doc_id").alias("__tw_id"))
-    rows = docs.withColumns({"__tw_id": F.col("doc_id").cast("long"), "__tw_hash": F.xxhash64("text"), "__tw_alone": F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
-    same = W.partitionBy("__tw_id", "__tw_hash", "__tw_alone").orderBy("__tw_hash")
-    kept = rows.join(gone, "__tw_id", "left_anti").withColumn("__tw_rank", F.row_number().over(same)).where("__tw_rank = 1")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = written(near_duplicates(docs, threshold=threshold).select(F.col("doc_id").alias("__tw_id")), "gone")
+    rows = docs.withColumns({"__tw_id": F.col("doc_id").cast("long"), "__tw_hash": F.xxhash64("text")})
+    # Texts are moved only for the keys that occur more than once, not for all rows.
+    again = written(rows.where("__tw_id is not null").groupBy("__tw_id", "__tw_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    kept = rows.join(gone, "__tw_id", "left_anti")
+    once = kept.join(again, ["__tw_id", "__tw_hash"], "left_anti")
+    same = W.partitionBy("__tw_id", "__tw_hash").orderBy("__tw_hash")
+    first = kept.join(again, ["__tw_id", "__tw_hash"], "left_semi").withColumn("__tw_rank", F.row_number().over(same)).where("__tw_rank = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*columns).unionAll(first.select(*columns))
