@@ -35,7 +35,7 @@ SPAN, DECAY, SIZE, LONGEST, STEP = 6, 0.7, 64, 16, 8
 LABELLED, CLEAN_UNITS, HARD_UNITS, LANDMARKS, ROUNDS = 10_000, 20_000, 5_000, 300, 4
 _EDGE = (62, 63)
 _ABC = re.compile(r"[^\W\d_]+")
-_KNOWN = 200_000
+_KNOWN = 80_000
 
 
 def codes(units: list[str]) -> np.ndarray:
@@ -284,9 +284,9 @@ def _scored(machine, key: int, above: float = -np.inf):
 
     @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("worst", T.StringType())]))
     def score(text: pa.Array) -> pa.Array:
-        scores, worst, texts = [], [], text.to_pylist()
-        for i in range(0, len(texts), 64):
-            found = [tokens(t or "") for t in texts[i : i + 64]]
+        scores, worst = [], []
+        for i in range(0, len(text), 64):
+            found = [tokens(t or "") for t in text.slice(i, 64).to_pylist()]
             known = _token_scores(machine.value, (key, above), found, above)
             for f in found:
                 top = max(map(known.__getitem__, f), default=-9.0)
