@@ -503,6 +503,24 @@ def test_packing_against_brute_force(spark):
         assert max(bins) + 1 == sum(r["group_id"] == g for r in got)
 
 
+@pytest.mark.parametrize("packed", [lambda spark, d: registry.queries()["op10_packing"](spark, d), lambda spark, d: corpus_pipeline.STAGES[-1][1](spark, table(spark, d, "documents"), d)])
+def test_packing_holds_whole_tokens(spark, tmp_path, packed):
+    """Each document's pieces join to its true tokens, and no sequence holds more than its capacity of them."""
+    odd = [(-1, "日本語 🎉🎉 " * 1500, "s"), (-2, "", "s"), (-3, None, "s"), (-4, "é" * 9000, "s")]
+    docs = table(spark, SMALL, "documents").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string, s string").drop("s"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    counting = token_counts.Counting(token_counts.VOCABULARY, frozenset())
+    want = {r["doc_id"]: n for r in docs.collect() if (n := counting.count(r["text"])[0])}
+    pieces = {}
+    for r in packed(spark, str(tmp_path)).collect():
+        assert r["used"] == sum(r["lengths"]) <= packing.CAPACITY
+        for i, start, n in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
+            pieces.setdefault(i, []).append((start, n))
+    assert {i: sum(n for _, n in x) for i, x in pieces.items()} == want and max(map(len, pieces.values())) > 1
+    for x in map(sorted, pieces.values()):
+        assert [start for start, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))]
+
+
 # --- registry and pipeline
 
 

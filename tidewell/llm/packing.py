@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.token_counts import n_tokens
+
 CAPACITY, GROUP_DOCS, SEED = 2048, 4096, 17
 _LISTS = [(n, pa.list_(pa.int64())) for n in ("doc_ids", "starts", "lengths")]
 _ARROW = pa.schema([("group_id", pa.int64()), ("bin", pa.int64()), *_LISTS, ("used", pa.int64())])
@@ -64,13 +66,17 @@ def _pack(capacity: int):
 
 
 def tokens(text: str = "text"):
-    """Length of a text in tokens of four bytes, rounded up; 0 for a null or empty one."""
+    """Length of a text in tokens of four bytes, rounded up, an estimate; 0 for a null or empty one."""
     return F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0)).cast("long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = SEED) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = SEED, vocabulary: str | None = None) -> DataFrame:
     """(group_id, bin, doc_ids, starts, lengths, used): sequences of at most `capacity` tokens.
 
+    Tokens are those of the byte-level vocabulary at the path `vocabulary`, so
+    that starts and lengths are offsets into a text's own tokens; without a
+    vocabulary a token is taken as four bytes, which is an estimate alone.
+
     Each document goes to a random group of about `group_docs` documents, by the
     hash of its id and the seed; only ids and lengths are moved. A document
     longer than a sequence is cut at multiples of the capacity, so that all of
@@ -81,5 +87,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS
     """
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)))
     groups = max(1, -(-docs.count() // group_docs))
-    thin = docs.select(F.pmod(spread, F.lit(groups)).alias("g"), F.col("doc_id").cast("long").alias("id"), tokens().alias("n"))
-    return thin.where("n > 0").groupBy("g").applyInArrow(_pack(capacity), _SCHEMA)
+    n = tokens() if vocabulary is None else n_tokens(docs.sparkSession, "text", vocabulary)
+    thin = docs.where(F.octet_length("text") > 0).select(F.pmod(spread, F.lit(groups)).alias("g"), F.col("doc_id").cast("long").alias("id"), n.alias("n"))
+    return thin.groupBy("g").applyInArrow(_pack(capacity), _SCHEMA)

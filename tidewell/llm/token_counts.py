@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,7 +124,59 @@ class Counting:
         return tokens, total, direct
 
 
+def merged_size(piece: bytes, rank: dict[bytes, int]) -> int:
+    """The number of tokens that `merge` gives; the ranks of pairs are kept, so that a merge looks up its neighbours alone."""
+    if len(piece) > _LONG:
+        return len(_merge_long(piece, rank))
+    none = float("inf")
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [rank.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (best := min(pairs)) < none:
+        i = pairs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank.get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+    return len(parts)
+
+
+class Sizes(dict):
+    """Tokens of each pre-token: 1 for the proved strings, merged and remembered for any other."""
+
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        self.rank, self.pattern = ranks(path), regex.compile(PATTERN)
+        self.whole = proved(path) if whole is None else whole
+        super().__init__(dict.fromkeys(self.whole, 1))
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= len(self.whole) + _REMEMBERED:
+            self.clear()
+            self.update(dict.fromkeys(self.whole, 1))
+        size = self[piece] = merged_size(piece.encode("utf-8", "surrogatepass"), self.rank)
+        return size
+
+    def tokens(self, text: str | None) -> int:
+        return sum(map(self.__getitem__, self.pattern.findall(text or "")))
+
+
 _COUNTING: dict[str, Counting] = {}
+_SIZES: dict[str, Sizes] = {}
+
+
+def n_tokens(spark: SparkSession, text: str = "text", path: str = VOCABULARY) -> Column:
+    """The tokens of a text as a column, those of `token_counts`; 0 for a null or empty one. Texts are read in slices."""
+    sent = spark.sparkContext.broadcast(proved(path))
+
+    @F.arrow_udf(T.LongType())
+    def counted(text: pa.Array) -> pa.Array:
+        if path not in _SIZES:
+            _SIZES[path] = Sizes(path, sent.value)
+        count = _SIZES[path].tokens
+        return pa.array([count(t) for i in range(0, len(text), 256) for t in text.slice(i, 256).to_pylist()], pa.int64())
+
+    return counted(text)
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
