@@ -5,6 +5,7 @@ import math
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,19 @@ def test_approximate_search_recall(spark, vecs):
     assert recall(search.pq_search(vecs, vecs, model, 10), want) >= 0.9
 
 
+@pytest.mark.parametrize("n", [20_000, 50_000])
+def test_product_search_is_exact_at_any_size(spark, n):
+    """Vectors without clusters, which codes tell apart badly."""
+    x = np.random.default_rng(5).normal(size=(n, 64))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)}))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x[:50] @ x.T
+    s[np.arange(50), np.arange(50)] = -2
+    want = {i: set(np.argsort(-v)[:10]) for i, v in enumerate(s)}
+    model = search.Product(search.training_sample(df, 1_000))
+    assert recall(search.pq_search(df.where("vec_id < 50"), df, model, 10), want) == 1
+
+
 def test_batch_top_k_edges(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, []), (5, None), (None, [1.0, 1.0]), (6, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -263,13 +263,56 @@ def pq_top_k(queries: DataFrame, codes: DataFrame, model: Product, k: int, query
 
 
 def pq_search(queries: DataFrame, corpus: DataFrame, model: Product, k: int, over: int = 20, vec: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, score, rank): `over` times k candidates by distance tables, then ranked by their exact cosine."""
-    from tidewell.functions.vectors import cosine
+    """(query_id, vec_id, score, rank): the exact k best cosines of each query, found through the codes.
 
-    found = pq_top_k(queries, pq_encode(corpus, model, vec=vec), model, over * k + 1, vec=vec).where("query_id <> vec_id").select("query_id", "vec_id")
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col(vec).alias("q"))
-    both = found.join(q, "query_id").join(corpus.select("vec_id", F.col(vec).alias("v")), "vec_id")
-    return top_k_by(both.select("query_id", "vec_id", F.round(cosine("q", "v"), 9).alias("score")), ["query_id"], k)
+    Each vector is kept with its quantisation error e, so that a query's product
+    with it is within e of that with its centres. In each block the `over` times
+    k best by tables are ranked exactly; all others that can still reach the
+    k-th of them by their bound are ranked too, however many they are.
+    """
+    sent = corpus.sparkSession.sparkContext.broadcast(model)
+
+    def pack(size: int, coded: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    b = batch.slice(at, size)
+                    x = np.array(b.column(1).to_pylist(), float)
+                    x = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+                    parts = [np.asarray(b.column(0), np.int64).tobytes(), x.tobytes()]
+                    if coded:
+                        codes = sent.value.encode(x)
+                        near = np.concatenate([c[codes[:, i]] for i, c in enumerate(sent.value.books)], axis=1)
+                        parts += [codes.tobytes(), np.linalg.norm(x - near, axis=1).tobytes()]
+                    yield pa.record_batch([pa.array([p], pa.binary()) for p in parts], names=["qi", "qv"] if not coded else ["ci", "cv", "codes", "errors"])
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = sent.value.books
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                qi, ci = (np.frombuffer(row[c], np.int64) for c in ("qi", "ci"))
+                q, v = np.frombuffer(row["qv"]).reshape(len(qi), -1), np.frombuffer(row["cv"]).reshape(len(ci), -1)
+                codes, errors = np.frombuffer(row["codes"], np.uint8).reshape(len(ci), -1), np.frombuffer(row["errors"])
+                for one, x in zip(qi, q, strict=True):
+                    s = sum((c @ p)[codes[:, i]] for i, (c, p) in enumerate(zip(books, np.split(x, len(books)), strict=True)))
+                    s[ci == one] = -np.inf
+                    n = min(over * k, len(s))
+                    some = np.argpartition(-s, n - 1)[:n]
+                    some = some[np.isfinite(s[some])]
+                    least = np.partition(v[some] @ x, -k)[-k] if len(some) >= k else -np.inf
+                    some = np.flatnonzero(np.isfinite(s) & (s + errors >= least - 1e-8))  # scores are rounded to nine digits
+                    score = np.round(v[some] @ x, 9)
+                    top = np.lexsort((ci[some], -score))[:k]
+                    yield pa.record_batch([pa.array(np.full(len(top), one)), pa.array(ci[some[top]]), pa.array(score[top])], schema=_PAIRS)
+
+    rows = lambda df: df.where(F.size(vec) > 0).select(F.col("vec_id").cast("long"), F.col(vec).cast("array<double>"))
+    q = rows(queries).mapInArrow(pack(256, False), "qi binary, qv binary")
+    c = written(rows(corpus).mapInArrow(pack(2048, True), "ci binary, cv binary, codes binary, errors binary"), "pq-blocks")
+    met = q.repartition(F.xxhash64("qi")).crossJoin(c).mapInArrow(meet, _PAIRS_SQL)
+    return top_k_by(met, ["query_id"], k)
 
 
 def ivf_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 12, sample: int = 20_000, vec: str = "embedding") -> DataFrame:
