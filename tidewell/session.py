@@ -70,6 +70,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Bytes for each core below which a table is dealt out to all cores.
+SPREAD = 8 << 20
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take long to work on.
+
+    A small file may be one row group, which one task reads however many there
+    are; rows of a table of less than SPREAD bytes for each core are therefore
+    dealt out to all of them. Larger tables have row groups enough and aren't
+    moved.
+    """
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * SPREAD else df
+
+
 _SHIPPED: set[str] = set()
 
 
