@@ -48,59 +48,118 @@ def edits(a, b):
     return row[-1]
 
 
-def brute_lines(rows, least=line_dedup.MIN_CHARS, most=line_dedup.EDITS):
-    occ = sorted({((i is None, i or 0, n), line.strip(" ")) for i, t, _ in rows for n, line in enumerate((t or "").split("\n")) if len(line.strip(" ")) >= least and t})
+def brute_lines(rows, distance=edits):
+    occ = sorted({((i is None, i or 0, n), line.strip(" ")) for i, t, _ in rows for n, line in enumerate((t or "").split("\n")) if line.strip(" \t\r")})
     first = {}
     for place, line in occ:
         first.setdefault(line, place)
     hit = {}
     for a, b in itertools.combinations(first, 2):
-        if abs(len(a) - len(b)) <= most and (d := edits(a, b)) <= most:
+        most = int(line_dedup.limit(min(len(a), len(b))))
+        if abs(len(a) - len(b)) <= most and most and (d := distance(a, b)) <= most:
             early, late = sorted((a, b), key=first.get)
-            hit[late] = min(hit.get(late, (99,)), (d, first[early]))
+            hit[late] = min(hit.get(late, ((True,), 0)), (first[early], d))
     plain = lambda p: (None if p[0] else p[1], p[2])
     out = set()
     for place, line in occ:
-        if place > first[line]:
+        if line in hit:
+            out.add((*plain(place), *plain(hit[line][0]), hit[line][1]))
+        elif place > first[line]:
             out.add((*plain(place), *plain(first[line]), 0))
-        elif line in hit:
-            out.add((*plain(place), *plain(hit[line][1]), hit[line][0]))
     return sorted(out, key=repr)
 
 
+def found_lines(spark, rows, **how):
+    return tuples(line_dedup.duplicate_lines(docs_of(spark, rows), **how), "doc_id", "line_no", "dup_doc_id", "dup_line_no", "distance")
+
+
+def changed(rng, s, most):
+    for _ in range(rng.randint(0, most)):
+        k = rng.randrange(len(s))
+        s = rng.choice([s[:k] + s[k + 1 :], s[:k] + "é" + s[k:], s[:k] + "q" + s[k + 1 :]]) or "q"
+    return s
+
+
 def test_lines_against_brute_force(spark):
     rng = random.Random(1)
-    base = [sentence(rng, 8) for _ in range(25)]
+    base = [sentence(rng, 8) for _ in range(12)] + ["".join(rng.choice("ab c") for _ in range(n)) for n in range(1, 41)] + [sentence(rng, 25) for _ in range(4)]
+    rows = [(i if i % 9 else None, "\n".join(changed(rng, rng.choice(base), 5) for _ in range(5)), "s") for i in range(60)]
+    want = brute_lines(rows)
+    assert found_lines(spark, rows) == want and {x[-1] for x in want} >= {0, 1, 2, 3, 4}
+    assert found_lines(spark, rows, broadcast_ids=0) == want
+    assert found_lines(spark, [(1, "Copyright 2024 ACME", "s"), (2, " a\n\t\n\na ", "s"), (3, "Copyright 2024 ACME", "s")]) == [(2, 3, 2, 0, 0), (3, 0, 1, 0, 0)]
+
+
+def test_long_lines_within_their_limit(spark):
+    """Swapped words are more than two edits; the limit grows with the line."""
+    rng = random.Random(14)
+    base = [sentence(rng, n) for n in (40, 90, 150, 280, 500)]
+    rows = []
+    for k, line in enumerate(base * 3):
+        ws = line.split()
+        if k >= len(base):
+            at = rng.randrange(len(ws) - 1)
+            ws[at], ws[at + 1] = ws[at + 1], ws[at]
+        rows.append((k, " ".join(ws), "s"))
+    want = brute_lines(rows, lambda a, b: 10**6 if (d := line_dedup.edit_distance(a, b, 100)) is None else d)
+    assert found_lines(spark, rows) == want and len(want) == 2 * len(base) and max(x[-1] for x in want) > 4
+
+
+def test_hot_segments(spark):
+    """Lines that share a segment alone emit no pair; variants of a template are compared in blocks, each link found."""
+    import pyarrow as pa
 
-    def changed(s):
-        for _ in range(rng.randint(0, 4)):
-            k = rng.randrange(len(s))
-            s = rng.choice([s[:k] + s[k + 1 :], s[:k] + "é" + s[k:], s[:k] + "q" + s[k + 1 :]])
-        return s
+    rng = random.Random(15)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    head = "the same long beginning of them all, with which every one of the lines starts: "
+    apart = [head + letters(100) for _ in range(4000)]
+    batch = lambda lines: iter([pa.record_batch([pa.array(lines)], ["line"])])
+    met = lambda lines, level: [r for b in line_dedup._meet(iter(sorted_blobs(line_dedup._post(3, level)(batch(lines))))) for r in b.to_pylist()]
 
-    rows = [(i if i % 9 else None, "\n".join(changed(rng.choice(base)) for _ in range(4)), "s") for i in range(40)]
-    got = tuples(line_dedup.duplicate_lines(docs_of(spark, rows)), "doc_id", "line_no", "dup_doc_id", "dup_line_no", "distance")
-    want = brute_lines(rows)
-    assert got == want and {x[-1] for x in want} == {0, 1, 2}
-    joined = tuples(line_dedup.duplicate_lines(docs_of(spark, rows), broadcast_ids=0), "doc_id", "line_no", "dup_doc_id", "dup_line_no", "distance")
-    assert joined == want
+    def sorted_blobs(blobs):
+        return pa.Table.from_batches(list(blobs)).sort_by("pid").combine_chunks().to_batches()
+
+    first = met(apart, 1)
+    assert sum(r["key"] == 0 for r in first) < 50 and sum(r["key"] != 0 for r in first) >= 4000
+    assert sum(r["key"] == 0 for r in met(apart, 2)) < 4000
+    template = "Permission is granted to {} to use, copy and change this work and to give it away, under the terms that are named below"
+    rows = [(k, line, "s") for k, line in enumerate(apart[:700])]
+    rows += [(1000 + k, template.format(letters(3)), "s") for k in range(400)] + [(2000 + k, template.format(letters(6)) + letters(rng.randint(0, 3)), "s") for k in range(100)]
+    rng.shuffle(rows)
+    far = lambda a, b: 10**6 if (d := line_dedup.edit_distance(a, b, int(line_dedup.limit(min(len(a), len(b)))))) is None else d
+    want = brute_lines(rows, far)
+    assert found_lines(spark, rows) == want and len(want) > 350
 
 
 def test_edit_distance():
     rng = random.Random(2)
-    for _ in range(3000):
-        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
-        b = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
-        d = edits(a, b)
-        assert line_dedup.edit_distance(a, b) == (d if d <= line_dedup.EDITS else None)
+    for k in range(6000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 12)))
+        b = changed(rng, a, 4) if a and k % 2 else "".join(rng.choice("ab") for _ in range(rng.randint(0, 12)))
+        d, most = edits(a, b), rng.randint(0, 6)
+        assert line_dedup.edit_distance(a, b, most) == (d if d <= most else None)
+
+
+@pytest.mark.parametrize("level", [1, 2])
+def test_segments_meet(level):
+    """Any two lines within their limit share a key, by a segment of one of them."""
+    rng = random.Random(16)
+    for k in range(400):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(2500 if k % 100 == 0 else rng.randint(15, 700)))
+        b = changed(rng, a, int(line_dedup.limit(len(a))))
+        if len(b) >= 15 and line_dedup.edit_distance(a, b, int(line_dedup.limit(min(len(a), len(b))))) is not None:
+            who, key, probe = line_dedup.entries([a, b], level)
+            own = [{int(x) for x, w, p in zip(key, who, probe, strict=True) if w == i and not p} for i in (0, 1)]
+            every = [{int(x) for x, w in zip(key, who, strict=True) if w == i} for i in (0, 1)]
+            assert own[0] & every[1] or own[1] & every[0]
 
 
 def test_drop_lines(spark):
     line = "this very line is found in more than one document here"
-    rows = [*ODD, (10, f"{line}\nfirst only", "a"), (11, f"{line}\nsecond only", "a"), (12, line, "a"), (13, f"  {line[:-1]} \nthird", "a")]
+    rows = [*ODD, (10, f"{line}\nfirst only", "a"), (11, f"{line}\nsecond one", "a"), (12, line, "a"), (13, f"  {line[:-1]} \nthird", "a")]
     out = line_dedup.drop_duplicate_lines(docs_of(spark, rows))
     got = {r["doc_id"]: (r["text"], r["n_chars"], r["h"]) for r in out.collect() if (r["doc_id"] or 0) >= 10}
-    assert got == {10: (f"{line}\nfirst only", len(line) + 11, "own-h"), 11: ("second only", 11, "own-h"), 13: ("third", 5, "own-h")}
+    assert got == {10: (f"{line}\nfirst only", len(line) + 11, "own-h"), 11: ("second one", 10, "own-h"), 13: ("third", 5, "own-h")}
     kept = {(r["doc_id"], r["text"]) for r in out.collect()}
     assert {(i, t) for i, t, _ in ODD} <= kept and out.columns == docs_of(spark, rows).columns
 
