@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on odd input."""
 
+import dataclasses
 import itertools
 import math
 import random
@@ -192,14 +193,32 @@ def test_quality_odd(spark):
     assert quality.quality_scores(docs_of(spark, ODD).limit(0), labels).count() == 0
 
 
-def test_normal_equations_are_those_of_one_pass(spark):
+def test_fit_is_that_of_one_pass(spark):
+    """The model summed over partitions, against one ridge regression and one calibration in NumPy over all rows."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, quality._D))
-    y = (x[:, 0] > 0).astype(float)
-    stats = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<float>").repartition(7)
-    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    x = rng.normal(size=(600, quality._D)).astype(np.float32)
+    x[50:60] = x[50]  # ties
+    y = (x[:, 0] + rng.normal(0, 0.5, 600) > 0).astype(float)
+    stats = spark.createDataFrame([(f"d{i}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, x array<float>").repartition(7)
+    labels = spark.createDataFrame([(f"d{i}", int(v)) for i, v in enumerate(y)] + [("d1", 0), (None, 1), ("d2", None)], "doc_id string, quality int")
     m = quality.fit(stats, labels)
-    assert (((m.scores(x) > 0.5) == (y > 0)).mean()) > 0.9
+    held = np.array([bool(r[0]) for r in stats.orderBy(F.substring("id", 2, 9).cast("int")).select(F.pmod(F.xxhash64("id"), F.lit(quality.CALIBRATE)) == 0).collect()])
+    t, u = x[~held].astype(float), y[~held]
+    frequency, phase = quality.frequencies()
+    z = np.cos(np.clip((t - t.mean(axis=0)) / t.std(axis=0), -8, 8) @ frequency + phase) * np.sqrt(2 / quality.FEATURES)
+    z = np.concatenate((z, np.ones((len(z), 1))), axis=1)
+    eye = quality.RIDGE * len(z) * np.eye(z.shape[1])
+    eye[-1, -1] = 0
+    w = np.linalg.solve(z.T @ z + eye, z.T @ u)
+    assert np.allclose(m.scores(t), z @ w, atol=1e-6)
+    score = np.round(m.scores(x[held].astype(float)), 3)
+    values = np.unique(score)
+    total = np.array([(score == v).sum() for v in values], float)
+    positive = np.array([y[held][score == v].sum() for v in values])
+    p = positive / total
+    sums = lambda a, b: positive[a : b + 1].sum() / total[a : b + 1].sum()
+    want = [max(min(sums(a, b) for b in range(i, len(p))) for a in range(i + 1)) for i in range(len(p))]
+    assert np.allclose(m.probability(values), want, atol=1e-9)
 
 
 # --- 3 audio
@@ -220,12 +239,17 @@ def test_resample_against_direct_sum():
         assert len(y) == -(-len(x) * up // down)
         if up == down:
             continue
-        h = audio.phases(up, down)
-        half = h.shape[1] // 2
+        # A Kaiser-windowed sinc around the exact place of each output, written down anew.
+        cut = min(1.0, audio.RATE / source)
+        half = math.ceil(audio.TAPS / 2 / cut)
         for n in range(0, len(y), 37):
-            base, phase = divmod(n * down, up)
-            want = sum(h[phase, k] * x[base + k - half + 1] for k in range(h.shape[1]) if 0 <= base + k - half + 1 < len(x))
-            assert y[n] == pytest.approx(want, abs=1e-4)
+            place = n * source / audio.RATE
+            taps = {}
+            for k in range(math.floor(place) - half + 1, math.floor(place) + half + 1):
+                d = (k - place) * cut
+                taps[k] = (math.sin(math.pi * d) / (math.pi * d) if abs(d) > 1e-12 else 1.0) * float(np.i0(8 * math.sqrt(max(0.0, 1 - ((k - place) / half) ** 2))))
+            want = sum(v * x[k] for k, v in taps.items() if 0 <= k < len(x)) / sum(taps.values())
+            assert y[n] == pytest.approx(want, abs=2e-4)
     long = np.random.default_rng(1).normal(size=120_000).astype(np.float32)
     assert np.allclose(audio.resample(long, 22_050)[:3000], audio.resample(long[:6000], 22_050)[:3000], atol=1e-5)
 
@@ -272,14 +296,23 @@ def test_audio_tensors(spark, tmp_path):
     assert {r["id"] for r in got.collect()} == {1, None, 5} and [r["window"] for r in sorted(rows, key=lambda r: r["window"])] == list(range(len(rows)))
     spans = [(s["start_s"], s["end_s"]) for r in sorted(rows, key=lambda r: r["window"]) for s in r["segments"]]
     assert min(a for a, _ in spans) == pytest.approx(3, abs=0.05) and max(b for _, b in spans) == pytest.approx(4, abs=0.05)
-    t = audio.tensors(got.toArrow()["tensor"])
-    assert t.to_numpy_ndarray().shape == (got.count(), audio.WINDOW, audio.MELS)
-    written = audio.write_tensors(got, str(tmp_path / "out")).collect()
     import pyarrow as pa
 
+    one = pa.ipc.open_stream(rows[0]["tensor"]).read_all()
+    assert one.schema.field("tensor").type == audio.TENSOR and one.num_rows == 1 and one["tensor"].chunk(0).to_numpy_ndarray().shape == (1, audio.WINDOW, audio.MELS)
+    mel, _ = audio.log_mel(audio.resample(*audio.decode(wav(np.concatenate((quiet, loud, quiet)), rate))))
+    first = min(rows, key=lambda r: r["window"])
+    assert np.allclose(pa.ipc.open_stream(first["tensor"]).read_all()["tensor"].chunk(0).to_numpy_ndarray()[0], mel[: audio.WINDOW], atol=1e-4)
+    t = audio.tensors(got.toArrow()["tensor"])
+    assert t.to_numpy_ndarray().shape == (got.count(), audio.WINDOW, audio.MELS)
+    written = audio.write_tensors(got, f"file://{tmp_path}/out").collect()
     back = [pa.ipc.open_file(r["file"]).read_all() for r in written]
     assert sum(x.num_rows for x in back) == got.count() and isinstance(back[0].schema.field("tensor").type, pa.FixedShapeTensorType)
+    assert sorted(x for b in back for x in b["start_s"].to_pylist()) == sorted(r["start_s"] for r in got.collect())
     assert audio.audio_features(spark.createDataFrame([], "id long, audio binary")).count() == 0
+    clash = spark.createDataFrame([("a", b"\x80" * 400_000, "own", "own")], "id string, audio binary, window string, tensor string")
+    long = audio.audio_features(clash).collect()
+    assert len(long) == -(-(-(-400_000 * 16_000 // 22_050) // audio.HOP) // audio.WINDOW) and {r["id"] for r in long} == {"a"}
 
 
 # --- 4 decontamination
@@ -320,7 +353,10 @@ def test_spans_against_brute_force(spark):
         assert got == want
         kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs_of(spark, rows), b, limit).collect()}
         assert kept == {i for i, _, _ in rows} - {x[0] for x in want}
-    assert decontaminate.contaminated(docs_of(spark, rows), b.limit(0)).count() == 0
+    assert decontaminate.contaminated(docs_of(spark, rows), b.limit(0)).count() == 0 and decontaminate.contaminated(docs_of(spark, rows).limit(0), b).count() == 0
+    named = [df.withColumn(c, F.concat(F.lit("n"), c)) for df, c in ((docs_of(spark, rows), "doc_id"), (b, "item_id"))]
+    for limit in (decontaminate.BROADCAST_BYTES, -1):
+        assert tuples(decontaminate.contaminated(*named, limit), "doc_start", "item_start", "n_words") == sorted((x[2:] for x in want), key=repr)
 
 
 # --- 5 near dedup
@@ -354,6 +390,28 @@ def test_near_dedup_against_brute_force(spark):
     assert all(truth[i] == truth[r] for i, r in root.items())
 
 
+def test_near_dedup_finds_each_pair_that_its_signatures_show(spark):
+    """Against all pairs of signatures that agree in a band: the same groups, with string ids, copies and hot bands."""
+    rng = random.Random(22)
+    base = [sentence(rng, 60).split() for _ in range(4)]
+    rows = []
+    for k in range(160):
+        w = list(base[k % 4])
+        for _ in range(rng.randint(0, 9) if k % 3 else 0):
+            w[rng.randrange(len(w))] = "zz" + str(rng.random())[2:5]
+        rows.append((f"d{k:03}", " ".join(w)))
+    sig = near_dedup.signatures([t for _, t in rows])
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = (np.frombuffer(sig[k]["sig"], np.uint8) for k in (i, j))
+        if (sig[i]["bands"] == sig[j]["bands"]).any() and ((a == b).mean() - 1 / 256) / (1 - 1 / 256) >= 0.55:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {rows[i][0]: rows[find(i)][0] for i in range(len(rows)) if find(i) != i}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {r["doc_id"]: r["duplicate_of"] for r in got.collect()} == want and len(want) > 100
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(7)
     got = []
@@ -386,22 +444,59 @@ def test_url_trees_held_out(spark):
         return f"http{'' if bad else 's'}://{host}.example.{rng.choice(['com', 'org'])}/a/{rng.randrange(99)}" + ("?" + query if query else "")
 
     data = [(url(b), b) for b in (rng.randrange(2) for _ in range(1500))]
-    model = url_filter.train([u for u, _ in data[:1000]], [b for _, b in data[:1000]])
-    p = model.probability([u for u, _ in data[1000:]])
-    assert ((p > 0.5) == np.array([b for _, b in data[1000:]])).mean() > 0.95 and model.auc > 0.95
-    pages = spark.createDataFrame([(1, data[0][0]), (None, None), (2, ""), (2, "::::?&&#")], "page_id long, url string")
-    labelled = spark.createDataFrame(data + [(None, 1), ("x", None)], "url string, bad int")
+    labelled = spark.createDataFrame(data[:1000] + [(None, None), ("x", None)], "url string, bad int")
+    held = spark.createDataFrame([(i, u, "own") for i, (u, _) in enumerate(data[1000:])], "page_id long, url string, score string")
+    p = {r["page_id"]: r["reject"] for r in url_filter.url_scores(held, labelled).collect()}
+    assert np.mean([p[i] == bool(b) for i, (_, b) in enumerate(data[1000:])]) > 0.95 and url_filter.fit(labelled).auc > 0.95
+    pages = spark.createDataFrame([("a", data[0][0]), (None, None), ("b", ""), ("b", "::::?&&#"), ("c", "http://h.example.com/" + "x" * 100_000)], "page_id string, url string")
     got = url_filter.url_scores(pages, labelled)
-    assert got.count() == 4 and all(0 <= r["score"] <= 1 for r in got.collect())
+    assert got.count() == 5 and all(0 <= r["score"] <= 1 for r in got.collect())
+    assert url_filter.url_scores(pages.limit(0), labelled).count() == 0
     assert {r["score"] for r in url_filter.url_scores(pages, labelled.limit(0)).collect()} == {1e-6}
 
 
+def test_suffixes_are_counted_over_all_rows(spark):
+    pages = spark.createDataFrame([(i, f"http://a{i}.{'bad.com' if i % 3 else 'ok.org'}/x") for i in range(60)], "page_id long, url string")
+    labelled = pages.where("page_id < 30").select("url", (F.col("page_id") % 2).cast("int").alias("bad"))
+    rows, prior = url_filter.with_suffixes(pages, pages, labelled)
+    assert prior == 0.5 and tuples(rows.select("page_id", "__tw_n", "__tw_l", "__tw_b")) == sorted(((i, 40, 20, 10) if i % 3 else (i, 20, 10, 5) for i in range(60)), key=repr)
+
+
+def test_first_tree_against_brute_force():
+    """The root of the first tree is the split of highest gain among all features and limits, and each leaf the Newton step of its rows."""
+    rng = np.random.default_rng(21)
+    x = rng.integers(0, 12, (300, 16)).astype(float)
+    y = (x[:, 3] + rng.normal(0, 2, 300) > 6).astype(float)
+    f, limit, leaf, base = url_filter.boost(x, y, 1)
+    p = y.mean()
+    g, h = y - p, np.full(300, p * (1 - p))
+
+    def gain(rows, feature, cut):
+        parts = [rows & (x[:, feature] <= cut), rows & (x[:, feature] > cut)]
+        if min(q.sum() for q in parts) < url_filter.LEAF:
+            return -np.inf
+        return sum(g[q].sum() ** 2 / (h[q].sum() + url_filter.RIDGE) for q in parts) - g[rows].sum() ** 2 / (h[rows].sum() + url_filter.RIDGE)
+
+    cuts = [(k, c) for k in range(16) for c in np.unique(np.quantile(x[:, k], np.linspace(0, 1, url_filter.BINS + 1)[1:-1]))]
+    whole = np.ones(300, bool)
+    best = max(cuts, key=lambda c: gain(whole, *c))
+    assert gain(whole, f[0, 0], limit[0, 0]) == pytest.approx(gain(whole, *best))
+    left = whole & (x[:, f[0, 0]] <= limit[0, 0])
+    assert gain(left, f[0, 1], limit[0, 1]) == pytest.approx(max(gain(left, *c) for c in cuts))
+    node = np.zeros(300, np.int64)
+    for _ in range(url_filter.DEPTH):
+        node = 2 * node + 1 + (x[np.arange(300), f[0, node]] > limit[0, node])
+    at = node - (2**url_filter.DEPTH - 1)
+    for k in np.unique(at):
+        assert leaf[0, k] == pytest.approx(url_filter.RATE * g[at == k].sum() / (h[at == k].sum() + url_filter.RIDGE))
+
+
 def test_boosting_lowers_the_loss():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(800, 16))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     f, limit, leaf, base = url_filter.boost(x, y)
-    raw = url_filter.Trees(f, limit, leaf, base, {}, 0.5).raw(x)
+    raw = url_filter.Trees(f, limit, leaf, base).raw(x)
     assert ((raw > 0) == (y > 0)).mean() > 0.95
     assert url_filter.auc(np.array([0.1, 0.4, 0.4, 0.8]), np.array([0, 0, 1, 1.0])) == 0.875
 
@@ -424,8 +519,16 @@ def test_shards_hold_the_mixture(spark, tmp_path):
         assert sorted(r["place"] for r in own) == list(range(100)) and abs(sum(r["source"] == "hot" for r in own) - 70) <= 2
     assert tuples(sharding.shards(df, 100, bucket_rows=10**9), "doc_id", "shard", "place") == tuples(sharding.shards(df, 100, bucket_rows=64), "doc_id", "shard", "place")
     assert sharding.shards(docs_of(spark, ODD), 3).count() == len(ODD) and sharding.shards(df.limit(0)).count() == 0
-    sharding.write_shards(df.drop("shard"), str(tmp_path / "s"), 100)
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().where("count = 100").count() == 10
+    sharding.write_shards(df, str(tmp_path / "s"), 100, bucket_rows=64)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.groupBy("shard_").count().where("count = 100").count() == 10 and tuples(back.select(*df.columns)) == tuples(df)
+
+
+def test_written_shards_keep_repeats(spark, tmp_path):
+    rows = [(1, "a", "s"), (1, "a", "s"), (1, "b", "s"), (None, "c", "s"), (None, "c", None), (None, "d", "s"), (2, None, "s")]
+    df = docs_of(spark, rows * 3, extra=False)
+    sharding.write_shards(df, str(tmp_path / "s"), 4)
+    assert tuples(spark.read.parquet(str(tmp_path / "s")).select(*df.columns)) == tuples(df)
 
 
 # --- 8 tokens
@@ -440,8 +543,8 @@ def test_tokens_against_the_library(spark):
     got = token_counts.token_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"] is not None} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
     assert next(r for r in got if r["doc_id"] is None)["n_tokens"] == 0 and sum(r["n_whole"] for r in got) > 0
-    counting = token_counts.Counting(token_counts.VOCABULARY)
-    plain = token_counts.Counting(token_counts.VOCABULARY, frozenset())
+    v = token_counts.vocabulary()
+    counting, plain = token_counts.Counting(v), token_counts.Counting(dataclasses.replace(v, whole=frozenset()))
     assert [counting.count(t)[0] for t in texts] == [plain.count(t)[0] for t in texts]
     for w in random.Random(0).sample(sorted(token_counts.proved(token_counts.VOCABULARY)), 300):
         assert len(enc._encode_single_piece(w)) == 1
@@ -449,6 +552,30 @@ def test_tokens_against_the_library(spark):
         assert token_counts._merge_long(t.encode(), rank) == _plain_merge(t.encode(), rank)
 
 
+def test_chunks_hold_whole_pretokens():
+    """Counting by chunks is counting by the pattern over the whole text, whatever white space there is; so is it when a worker forgets."""
+    import regex
+
+    rng, pattern = random.Random(17), regex.compile(token_counts.PATTERN)
+    v = token_counts.vocabulary()
+    counting = token_counts.Counting(v)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f ", "\u2028", "\xa0", "\x85", "'s", "'", "12", "é", "!?", "日本", "\u3000", "\u200b"]) for _ in range(rng.randint(0, 14)))
+        pieces = pattern.findall(text)
+        assert counting.count(text) == (sum(len(token_counts.merge(p.encode(), v.rank)) for p in pieces), len(pieces), sum(p in v.whole for p in pieces)), repr(text)
+    assert [c for c in map(chr, range(0x11000)) if bool(regex.match(r"\s", c)) != (c.isspace() and c not in token_counts._SEPARATORS)] == []
+    few = token_counts._Remembered(len)
+    assert all(few[str(k)] == len(str(k)) for k in range(2 * token_counts._REMEMBERED + 9)) and len(few) <= token_counts._REMEMBERED
+
+
+def test_token_counts_odd(spark):
+    df = docs_of(spark, ODD)
+    got = token_counts.token_counts(df).collect()
+    assert len(got) == len(ODD) and sum(r["n_tokens"] == 0 for r in got) == 3 and len({(r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] == 4}) == 1
+    assert token_counts.token_counts(df.limit(0)).count() == 0
+    assert {r["doc_id"] for r in token_counts.token_counts(df.withColumn("doc_id", F.concat(F.lit("d-"), "doc_id"))).collect()} == {None, "d-1", "d-2", "d-3", "d-4", "d-5"}
+
+
 def _plain_merge(piece, rank):
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while True:
@@ -464,7 +591,7 @@ def _plain_merge(piece, rank):
 
 def brute_kernel(a, b):
     def phi(s):
-        c = toxicity.codes([s])[0].tolist()
+        c = [-1, *map(ord, s), -2]
         out = {}
         for i, j, k in itertools.combinations(range(len(c)), 3):
             if k - i < toxicity.SPAN:
@@ -514,6 +641,41 @@ def test_toxicity_held_out(spark, machine):
     assert {r["doc_id"] for r in toxicity.toxic_documents(hidden, None, machine).collect()} == {1, 2, 3}
 
 
+def test_letters_of_other_scripts_are_told_apart():
+    for mark, others in (("дурак", ("книга", "школа", "город", "человек", "время")), ("ηλίθιος", ("θάλασσα", "βιβλίο", "ουρανός")), ("笨蛋傻瓜", ("学校老师", "今天天气"))):
+        got = toxicity.Landmarks([mark]).kernel([mark, *others])[:, 0]
+        assert got[0] == pytest.approx(1) and got[1:].max() < 0.15
+
+
+def test_two_words_together_and_wrong_labels(spark):
+    """An insult of two harmless words is learned, and one label in twenty may be wrong."""
+    rng = random.Random(18)
+    rows, labels = toxic_rows(rng, 500)
+    rows = [(i, t.replace("moron", "gone mad").replace("wretch", "gone mad"), s) for i, t, s in rows]
+    for k in range(0, 500, 7):
+        i, t, s = rows[k]
+        rows[k] = (i, t + " gone abc" if k % 2 else t + " abc mad", s)
+    noisy = [(i, 1 - v if rng.random() < 0.05 else v) for i, v in labels]
+    m = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(noisy, "doc_id long, toxic int"))
+    rows, labels = toxic_rows(random.Random(19), 200, 1000)
+    rows = [(i, t.replace("moron", "gone mad").replace("wretch", "gone, mad!"), s) for i, t, s in rows]
+    gone = {r["doc_id"] for r in toxicity.toxic_documents(docs_of(spark, rows), None, m).collect()}
+    assert "gone mad" in m.pairs and np.mean([(i in gone) == bool(v) for i, v in labels]) >= 0.97
+    assert not toxicity.toxic_documents(docs_of(spark, [(1, "he had gone abc and she was mad", "s")]), None, m).collect()
+
+
+def test_squared_hinge_against_descent():
+    rng = np.random.default_rng(20)
+    z = np.concatenate((rng.normal(size=(150, 4)), np.ones((150, 1))), axis=1)
+    y, c = np.where(z[:, 0] + rng.normal(size=150) > 0, 1.0, -1.0), rng.uniform(0.5, 2, 150)
+    ridge = np.array([1, 1, 1, 1, 1e-6])
+    w = np.zeros(5)
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (z @ w))
+        w -= 1e-3 * (ridge * w - z.T @ (c * y * slack))
+    assert np.allclose(toxicity._squared_hinge(z, y, c), w, atol=1e-3)
+
+
 def test_toxicity_odd(spark, machine):
     df = docs_of(spark, [*ODD, (9, "word " * 30_000 + "stupid", "a"), (None, "stupid", None)])
     got = toxicity.toxic_documents(df, None, machine)
@@ -521,7 +683,10 @@ def test_toxicity_odd(spark, machine):
     kept = toxicity.drop_toxic(df, None, machine)
     assert kept.count() == len(ODD) and kept.columns == df.columns and {r["score"] for r in kept.collect()} == {"own-score"}
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert toxicity.toxic_documents(df, none).count() == 0
+    assert toxicity.toxic_documents(df, none).count() == 0 and toxicity.toxic_documents(df.limit(0), none).count() == 0
+    some = spark.createDataFrame([("d-9", 1), ("d-9", 1), ("d-5", 0), (None, 1), ("d-4", None)], "doc_id string, toxic int")
+    named = df.withColumn("doc_id", F.concat(F.lit("d-"), "doc_id"))
+    assert toxicity.drop_toxic(named, some).count() <= named.count()
 
 
 # --- 10 packing
@@ -556,6 +721,8 @@ def test_packing_against_brute_force(spark):
         if t:
             want[i] = want.get(i, 0) + -(-len(t.encode()) // 4)
     assert tokens == want and packing.pack(docs_of(spark, rows).limit(0)).count() == 0
+    named = packing.pack(docs_of(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), capacity=100).collect()
+    assert sum(r["used"] for r in named) == sum(want.values()) and "d1" in {i for r in named for i in r["doc_ids"]}
     for g in {r["group_id"] for r in got}:
         own = sorted((n for r in got if r["group_id"] == g for n in r["lengths"]), reverse=True)
         bins = brute_ffd(own, 100)
@@ -568,7 +735,7 @@ def test_packing_holds_whole_tokens(spark, tmp_path, packed):
     odd = [(-1, "日本語 🎉🎉 " * 1500, "s"), (-2, "", "s"), (-3, None, "s"), (-4, "é" * 9000, "s")]
     docs = table(spark, SMALL, "documents").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string, s string").drop("s"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    counting = token_counts.Counting(token_counts.VOCABULARY, frozenset())
+    counting = token_counts.Counting(dataclasses.replace(token_counts.vocabulary(), whole=frozenset()))
     want = {r["doc_id"]: n for r in docs.collect() if (n := counting.count(r["text"])[0])}
     pieces = {}
     for r in packed(spark, str(tmp_path)).collect():

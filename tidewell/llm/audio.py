@@ -2,12 +2,14 @@
 
 A recording (WAV, or raw 8-bit PCM) is resampled by a polyphase filter, cut into
 overlapping frames, and turned into log-mel energies; frames are stored by fixed
-windows as float32 tensors of one shape. Segments are found on the frame energy
+windows as float32 tensors of one shape, each an Arrow record batch whose column
+is of the fixed-shape tensor type. Segments are found on the frame energy
 with two limits: one opens above the higher and closes below the lower.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 SOURCE_RATE, RATE = 22_050, 16_000
 FRAME, HOP, FFT, MELS, WINDOW = 400, 160, 512, 40, 128
@@ -25,8 +28,10 @@ _BLOCK = 4096
 #: Outputs below which filters are gathered for each output, instead of one product for each phase.
 _FEW = 50_000
 _SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-_ARROW = pa.schema([("id", pa.int64()), ("window", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64()), ("tensor", pa.binary()), ("segments", _SPANS)])
-_SCHEMA = "id long, window long, start_s double, end_s double, frames long, tensor binary, segments array<struct<start_s:double,end_s:double>>"
+_COLUMNS = [("window", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64()), ("tensor", pa.binary()), ("segments", _SPANS)]
+_SCHEMA = "window long, start_s double, end_s double, frames long, tensor binary, segments array<struct<start_s:double,end_s:double>>"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS), dim_names=("frame", "mel"))
+_BYTES = WINDOW * MELS * 4
 
 
 def decode(data: bytes, rate: int = SOURCE_RATE) -> tuple[np.ndarray, int]:
@@ -131,36 +136,60 @@ def segments(level: np.ndarray, high: float = HIGH_DB, low: float = LOW_DB, shor
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True) if seen[b] > seen[a] and b - a >= shortest]
 
 
+def as_tensor(values: bytes) -> pa.ExtensionArray:
+    """float32 values in row order as an array of TENSOR."""
+    flat = pa.array(np.frombuffer(values, np.float32))
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(flat, WINDOW * MELS))
+
+
+@lru_cache(1)
+def _frame() -> tuple[bytes, bytes]:
+    """What comes before and after the values in an Arrow stream of one tensor: shape and type are always the same."""
+    mark = np.arange(1, WINDOW * MELS + 1, dtype=np.float32).tobytes()
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([as_tensor(mark)], ["tensor"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    whole = sink.getvalue().to_pybytes()
+    at = whole.index(mark)
+    return whole[:at], whole[at + len(mark) :]
+
+
 def features(data: bytes, rate: int = SOURCE_RATE) -> Iterator[tuple]:
     """(window, start, end, frames, tensor, segments) of a recording; the last window is padded with the energy of silence."""
     mel, level = log_mel(resample(*decode(data, rate)))
     found = segments(level)
     second = HOP / RATE
+    before, after = _frame()
     for w in range(-(-len(mel) // WINDOW)):
         part = mel[w * WINDOW : (w + 1) * WINDOW]
         full = np.full((WINDOW, MELS), np.log(FLOOR), np.float32)
         full[: len(part)] = part
         first, last = w * WINDOW, w * WINDOW + len(part)
         own = [{"start_s": max(a, first) * second, "end_s": min(b, last) * second} for a, b in found if a < last and b > first]
-        yield w, first * second, last * second, len(part), full.tobytes(), own
+        yield w, first * second, last * second, len(part), before + full.tobytes() + after, own
 
 
 def audio_features(media: DataFrame, id_col: str = "id", audio_col: str = "audio", rate: int = SOURCE_RATE) -> DataFrame:
     """(id, window, start_s, end_s, frames, tensor, segments): WINDOW x MELS log-mel tensors of each recording, in order.
 
-    `tensor` holds float32 in row order, all of one shape; `frames` says how
-    many rows of it are sound. `segments` are the loud spans inside the window,
-    cut at its ends. Null, empty and unreadable recordings have no window. Rows
-    are worked on one by one: null and repeated ids are reported as they come.
-    An empty table gives no rows.
+    `tensor` is an Arrow stream of one row whose column has the fixed-shape
+    tensor type TENSOR (`tensors` reads a column of them as one array); `frames`
+    says how many rows of it are sound. `segments` are the loud spans inside the
+    window, cut at its ends. Null, empty and unreadable recordings have no
+    window. Rows are worked on one by one: null and repeated ids are reported as
+    they come, ids are of any type. An empty table gives no rows.
     """
+    some = media.select(F.col(id_col).alias("id"), F.col(audio_col).cast("binary").alias("audio")).where("audio is not null")
+    kind = some.schema["id"].dataType
+    schema = pa.schema([("id", to_arrow_type(kind)), *_COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for window in features(data, rate):
-                    rows.append((i, *window))
+            for i, data in zip(*batch.columns, strict=True):
+                for window in features(data.as_py(), rate):
+                    rows.append((i.as_py(), *window))
                     if len(rows) == 256:
                         yield emit(rows)
                         rows = []
@@ -168,47 +197,49 @@ def audio_features(media: DataFrame, id_col: str = "id", audio_col: str = "audio
                 yield emit(rows)
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], _ARROW)
+        return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema)
 
-    some = media.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).cast("binary").alias("audio")).where("audio is not null")
-    return some.mapInArrow(run, _SCHEMA)
+    return some.mapInArrow(run, f"id {kind.simpleString()}, {_SCHEMA}")
 
 
 def tensors(column: pa.Array | pa.ChunkedArray) -> pa.FixedShapeTensorArray:
-    """The `tensor` column as Arrow's fixed-shape tensor array, without a copy of its values where it is one chunk."""
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    size = WINDOW * MELS
-    values = np.frombuffer(b"".join(flat.to_pylist()), np.float32) if len(flat) else np.zeros(0, np.float32)
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(values), size)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (WINDOW, MELS), dim_names=("frame", "mel")), storage)
+    """The `tensor` column as one array of Arrow's fixed-shape tensor type."""
+    before = len(_frame()[0])
+    return as_tensor(b"".join(v.as_py()[before : before + _BYTES] for v in column))
 
 
 def write_tensors(df: DataFrame, path: str) -> DataFrame:
-    """Writes the rows of `audio_features` to Arrow IPC files in the local or mounted shared folder `path`; (file, rows) of each.
+    """Writes the rows of `audio_features` to Arrow files in the shared folder `path`; (file, rows) of each.
 
-    The tensor column is Arrow's fixed-shape tensor type. A task writes one file
-    under a name of its own and renames it when done, so that a task which runs
-    again leaves no half file.
+    The tensor column is Arrow's fixed-shape tensor type, the time spans lie
+    beside it. `path` is a URI of any file system that Arrow opens (file, hdfs,
+    s3, ...) and must be one that all executors share. A task writes one file
+    under a name of its own and moves it into place when done, so that a task
+    which runs again leaves no half file.
     """
-    import os
+    uri = path if "://" in path else f"file://{os.path.abspath(path)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
         from pyspark import TaskContext
 
         task, rows, out = TaskContext.get(), 0, None
-        name = os.path.join(path, f"part-{task.partitionId():05d}.arrow")
-        scratch = f"{name}.{task.taskAttemptId()}"
-        os.makedirs(path, exist_ok=True)
+        where, folder = fs.FileSystem.from_uri(uri)
+        name = f"{folder}/part-{task.partitionId():05d}.arrow"
+        scratch = f"{folder}/.{task.taskAttemptId()}.arrow"
+        where.create_dir(folder, recursive=True)
         for batch in batches:
             at = batch.schema.get_field_index("tensor")
             whole = pa.record_batch([tensors(c) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
-            out = out or pa.ipc.new_file(scratch, whole.schema)
+            if out is None:
+                sink = where.open_output_stream(scratch)
+                out = pa.ipc.new_file(sink, whole.schema)
             out.write_batch(whole)
             rows += batch.num_rows
         if out:
             out.close()
-            os.replace(scratch, name)
+            sink.close()
+            where.move(scratch, name)
             yield pa.record_batch([pa.array([name]), pa.array([rows], pa.int64())], names=["file", "rows"])
 
     return df.mapInArrow(run, "file string, rows long")

@@ -17,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.llm.words import batches, grams, word_hashes
 from tidewell.session import plan_bytes
@@ -25,9 +26,10 @@ GRAM, WINDOW = 8, 6
 MIN_WORDS = GRAM + WINDOW - 1
 BROADCAST_BYTES = 16 << 20
 
-_SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("item", "doc_start", "item_start", "n_words")])
+_NAMES = ("doc_start", "item_start", "n_words")
+_SPAN = T.StructType([T.StructField(n, T.LongType()) for n in _NAMES])
 _PRINT = T.StructType([T.StructField("print", T.LongType()), T.StructField("at", T.LongType())])
-_SPAN_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("item", "doc_start", "item_start", "n_words")]))
+_SPAN_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in _NAMES]))
 _PRINT_ARROW = pa.list_(pa.struct([("print", pa.int64()), ("at", pa.int64())]))
 
 
@@ -88,7 +90,7 @@ class Index:
         for k in np.flatnonzero(hi > lo):
             for j in range(lo[k], hi[k]):
                 by_item.setdefault(int(self.owner[j]), []).append((int(at[k]), int(self.place[j])))
-        return [dict(zip(_SPAN.names, (self.ids[i], *s), strict=True)) for i, hits in sorted(by_item.items()) for s in extend(doc, self.items[i], hits)]
+        return [dict(zip(("item", *_NAMES), (self.ids[i], *s), strict=True)) for i, hits in sorted(by_item.items()) for s in extend(doc, self.items[i], hits)]
 
 
 def _each(texts: list, f) -> list:
@@ -104,10 +106,12 @@ def _index(items: DataFrame) -> Broadcast:
     return items.sparkSession.sparkContext.broadcast(Index([r["i"] for r in rows], [r["t"] for r in rows]))
 
 
-def _spans_udf(index: Broadcast):
-    @F.arrow_udf(T.ArrayType(_SPAN))
+def _spans_udf(index: Broadcast, id_type: T.DataType):
+    arrow = pa.list_(pa.struct([("item", to_arrow_type(id_type)), *_SPAN_ARROW.value_type]))
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("item", id_type), *_SPAN])))
     def spans(text: pa.Array) -> pa.Array:
-        return pa.array(_each(text.to_pylist(), index.value.spans), _SPAN_ARROW)
+        return pa.array(_each(text.to_pylist(), index.value.spans), arrow)
 
     return spans
 
@@ -129,7 +133,7 @@ def _extend_udf(doc: pa.Array, item: pa.Array, hits: pa.Array) -> pa.Array:
     for d, i, found in zip(doc.to_pylist(), item.to_pylist(), hits.to_pylist(), strict=True):
         (h, at) = word_hashes([d, i])
         spans = extend(h[: at[1]], h[at[1] :], [(x["p"], x["q"]) for x in found])
-        out.append([dict(zip(_SPAN.names, (0, *s), strict=True)) for s in spans])
+        out.append([dict(zip(_NAMES, s, strict=True)) for s in spans])
     return pa.array(out, _SPAN_ARROW)
 
 
@@ -147,10 +151,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = B
     no rows.
     """
     d = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("t")).where("t is not null")
-    b = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t is not null")
+    b = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t")).where("t is not null")
     result = ("d as doc_id", "i as item_id", "s.doc_start", "s.item_start", "s.n_words")
     if plan_bytes(b) <= broadcast_bytes:
-        found = d.select("d", F.explode(_spans_udf(_index(b))("t")).alias("s"))
+        found = d.select("d", F.explode(_spans_udf(_index(b), b.schema["i"].dataType)("t")).alias("s"))
         return found.select("d", F.col("s.item").alias("i"), "s").selectExpr(*result)
     # Rows get a key of their own, so that repeated ids stay apart; the key is a function of the row.
     d = d.withColumn("dk", F.xxhash64("d", "t"))
@@ -169,7 +173,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
     """
     b = benchmark.select(F.xxhash64("text").alias("i"), F.col("text").alias("t")).where("t is not null")
     if plan_bytes(b) <= broadcast_bytes:
-        kept = docs.withColumn("__tw_spans", F.size(_spans_udf(_index(b))("text"))).where("__tw_spans = 0")
+        kept = docs.withColumn("__tw_spans", F.size(_spans_udf(_index(b), b.schema["i"].dataType)("text"))).where("__tw_spans = 0")
     else:
         keyed = docs.withColumn("__tw_key", F.xxhash64("text"))
         bad = contaminated(keyed.select(F.col("__tw_key").alias("doc_id"), "text"), b.select(F.col("i").alias("item_id"), F.col("t").alias("text")), broadcast_bytes)

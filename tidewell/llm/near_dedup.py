@@ -87,20 +87,29 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.55) -> DataFrame:
     """Candidate pairs (a, b, similarity) whose estimated similarity is at least `threshold`.
 
-    Within a band every document is compared with the smallest id of its bucket,
-    so a group of n copies costs n comparisons. Whatever doesn't match that one
-    is compared with all others of the bucket, so that no partner is lost.
-    Pairs that only meet through their bucket's smallest id aren't listed: they
-    are in one component with it.
+    Documents of equal signatures are put together first; each is paired with
+    the smallest id of them, which alone stands for them in the bands. Within a
+    band every signature is compared with the smallest id of its bucket, found
+    by partial minima, so a group of n copies costs n comparisons and a hot
+    bucket is no task's alone. Whatever doesn't match that one is compared with
+    all other signatures of the bucket, so that no partner is lost. Pairs that
+    only meet through their bucket's smallest id aren't listed: they are in one
+    component with it.
 
     Rows with a null id or without any word are in no pair. Rows that repeat an
-    id are one document, which matches by any of its rows.
+    id are one document, which matches by any of its rows. Ids are of any type
+    that has an order.
     """
-    s = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    s = written(s.select("id", _signed("t").alias("s")).where("s is not null").select("id", "s.sig", "s.bands"), "signatures")
-    rows = s.select("id", F.explode("bands").alias("key"))
-    bucket = W.partitionBy("key")
-    met = written(rows.withColumn("rep", F.min("id").over(bucket)).where("id <> rep"), "met")
+    s = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
+    s = s.select("id", _signed("t").alias("s")).where("s is not null").select("id", F.struct(F.xxhash64("s.sig").alias("u"), F.xxhash64("s.sig", F.lit(1)).alias("v")).alias("h"), "s.sig", "s.bands")
+    s = written(s, "signatures")
+    same = s.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h", "rep")
+    copies = written(s.select("id", "h").join(same, "h").where("id <> rep").select("rep", "id", "h"), "copies")
+    # Rows of one id may have several signatures, so it is a row that is left out, not an id.
+    alone = s.join(copies.select("id", "h").distinct(), ["id", "h"], "left_anti")
+    rows = alone.select("id", F.explode("bands").alias("key"))
+    reps = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
+    met = written(rows.join(reps, "key").where("id <> rep"), "met")
     sig = s.select("id", "sig")
 
     def judged(pairs: DataFrame) -> DataFrame:
@@ -108,11 +117,13 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return left.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", _similar("x", "y").alias("similarity"))
 
     first = written(judged(met.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()), "judged")
-    missed = first.where(F.col("similarity") < threshold).select(F.col("a").alias("rep"), F.col("b").alias("id"))
+    matched = first.where(F.col("similarity") >= threshold)
+    missed = first.select("a", "b").distinct().join(matched.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("rep"), F.col("b").alias("id"))
     left = met.join(missed, ["rep", "id"], "left_semi")
     others = left.select("key", F.col("id").alias("i")).join(met.select("key", F.col("id").alias("j")), "key").where("i <> j")
     again = judged(others.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
-    return first.union(again).where(F.col("similarity") >= threshold)
+    equal = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return equal.union(first).union(again).where(F.col("similarity") >= threshold)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.55) -> DataFrame:
@@ -133,7 +144,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.55) -> DataFrame:
     with a null id can't be told apart by id; they stay as they are.
     """
     gone = written(near_duplicates(docs, threshold=threshold).select(F.col("doc_id").alias("__tw_id")), "gone")
-    rows = docs.withColumns({"__tw_id": F.col("doc_id").cast("long"), "__tw_hash": F.xxhash64("text")})
+    rows = docs.withColumns({"__tw_id": F.col("doc_id"), "__tw_hash": F.xxhash64("text")})
     # Texts are moved only for the keys that occur more than once, not for all rows.
     again = written(rows.where("__tw_id is not null").groupBy("__tw_id", "__tw_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     kept = rows.join(gone, "__tw_id", "left_anti")

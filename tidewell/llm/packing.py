@@ -12,13 +12,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.llm.token_counts import n_tokens
 
 CAPACITY, GROUP_DOCS, SEED = 2048, 4096, 17
-_LISTS = [(n, pa.list_(pa.int64())) for n in ("doc_ids", "starts", "lengths")]
-_ARROW = pa.schema([("group_id", pa.int64()), ("bin", pa.int64()), *_LISTS, ("used", pa.int64())])
-_SCHEMA = "group_id long, bin long, doc_ids array<long>, starts array<long>, lengths array<long>, used long"
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
@@ -51,16 +49,19 @@ def pieces(doc_id, length: int, capacity: int) -> Iterator[tuple]:
         yield doc_id, start, min(capacity, length - start)
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, id_type: pa.DataType):
+    lists = [(n, pa.list_(t)) for n, t in (("doc_ids", id_type), ("starts", pa.int64()), ("lengths", pa.int64()))]
+    schema = pa.schema([("group_id", pa.int64()), ("bin", pa.int64()), *lists, ("used", pa.int64())])
+
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
         parts = [p for i, n in zip(rows["id"].to_pylist(), rows["n"].to_pylist(), strict=True) for p in pieces(i, n, capacity)]
-        parts.sort(key=lambda p: (-p[2], p[0] is None, p[0] or 0, p[1]))
+        parts.sort(key=lambda p: (-p[2], p[0] is None, *(() if p[0] is None else (p[0],)), p[1]))
         bins: dict[int, list] = {}
         for part, b in zip(parts, first_fit_decreasing([p[2] for p in parts], capacity), strict=True):
             bins.setdefault(b, []).append(part)
         ids, starts, lengths = ([[p[k] for p in x] for x in bins.values()] for k in range(3))
         columns = ([key[0].as_py()] * len(bins), list(bins), ids, starts, lengths, [sum(x) for x in lengths])
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], _ARROW)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema)
 
     return pack
 
@@ -83,10 +84,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS
     it is packed; `starts` says where each piece begins. Equal lengths are
     ordered by id. A null or empty text has no tokens and is in no bin; a null id
     is packed as null; rows that repeat an id are packed as often as they occur.
-    An empty table gives no bins.
+    Ids are of any type that has an order. An empty table gives no bins.
     """
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)))
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
     groups = max(1, -(-docs.count() // group_docs))
     n = tokens() if vocabulary is None else n_tokens(docs.sparkSession, "text", vocabulary)
-    thin = docs.where(F.octet_length("text") > 0).select(F.pmod(spread, F.lit(groups)).alias("g"), F.col("doc_id").cast("long").alias("id"), n.alias("n"))
-    return thin.groupBy("g").applyInArrow(_pack(capacity), _SCHEMA)
+    thin = docs.where(F.octet_length("text") > 0).select(F.pmod(spread, F.lit(groups)).alias("g"), F.col("doc_id").alias("id"), n.alias("n"))
+    kind = thin.schema["id"].dataType
+    schema = f"group_id long, bin long, doc_ids array<{kind.simpleString()}>, starts array<long>, lengths array<long>, used long"
+    return thin.groupBy("g").applyInArrow(_pack(capacity, to_arrow_type(kind)), schema)

@@ -130,7 +130,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     Null ids and labels are skipped; an id with several labels has their
     maximum. Without labels of both kinds every probability is 1/2.
     """
-    lab = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("quality") > 0).cast("double")).alias("y"))
+    lab = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("quality") > 0).cast("double")).alias("y"))
     rows = written(stats.join(lab, "id").select("x", "y", (F.pmod(F.xxhash64("id"), F.lit(CALIBRATE)) == 0).alias("held")), "labelled")
     train = rows.where("not held").select("x", "y")
 
@@ -170,9 +170,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Da
 
     Every row is scored on its whole text. A null or empty text has statistics
     of zero and is scored like any other; null and repeated ids are reported
-    as they come; equal rows get equal scores. An empty table gives no rows.
+    as they come, ids are of any type; equal rows get equal scores. An empty
+    table gives no rows.
     """
-    stats = written(docs.select(F.col("doc_id").cast("long").alias("id"), _statistics("text").alias("x")), "statistics")
+    stats = written(docs.select(F.col("doc_id").alias("id"), _statistics("text").alias("x")), "statistics")
     model = docs.sparkSession.sparkContext.broadcast(fit(stats, labels))
 
     @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("probability", T.DoubleType())]))

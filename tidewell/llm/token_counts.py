@@ -2,14 +2,17 @@
 
 Which strings of the vocabulary encode alone as their own single token is proved
 once, by merging each of them. A pre-token of that set counts as one without any
-merging; all others are merged, once for each distinct string that a worker
-meets.
+merging; all others are merged. No pre-token holds white space after another
+character, so a text falls into chunks of white space and what follows it, each
+with pre-tokens of its own; a worker remembers the counts of the chunks it met.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import Counter
+import hashlib
+import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,11 +21,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.llm.words import held
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens of the byte-level vocabularies: contractions, words, numbers, other signs, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Distinct merged strings that a worker remembers.
-_REMEMBERED = 2_000_000
+#: Chunks, and merged pre-tokens, that a worker remembers in the running and in the last generation, and how long they may be.
+_REMEMBERED, _SHORT = 200_000, 48
+#: White space as PATTERN has it: the four separators are white space to `re` alone.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_CHUNK, _RARE_CHUNK = re.compile(r"\s*\S+"), re.compile(rf"[^\S{_SEPARATORS}]*[\S{_SEPARATORS}]+")
+_WIDE, _LOW = 40, (1 << 40) - 1
 #: Beyond this many bytes, a pre-token is merged by the heap instead of by repeated scans.
 _LONG = 64
 
@@ -97,31 +106,20 @@ def proved(path: str) -> frozenset[str]:
     return frozenset(out)
 
 
-class Counting:
-    """Counts tokens of texts; remembers merged pre-tokens."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """Ranks of the byte strings, and the proved strings; `name` tells vocabularies apart."""
 
-    def __init__(self, path: str, whole: frozenset[str] | None = None):
-        self.rank, self.pattern = ranks(path), regex.compile(PATTERN)
-        self.whole = dict.fromkeys(proved(path) if whole is None else whole, 1)
-        self.merged: dict[str, int] = {}
+    name: str
+    rank: dict[bytes, int]
+    whole: frozenset[str]
 
-    def count(self, text: str | None) -> tuple[int, int, int]:
-        """(tokens, pre-tokens, pre-tokens counted by the shortcut) of a text."""
-        tokens = total = direct = 0
-        whole, merged = self.whole, self.merged
-        for piece, n in Counter(self.pattern.findall(text or "")).items():
-            total += n
-            if piece in whole:
-                direct += n
-                tokens += n
-                continue
-            size = merged.get(piece)
-            if size is None:
-                if len(merged) >= _REMEMBERED:
-                    merged.clear()
-                size = merged[piece] = len(merge(piece.encode("utf-8", "surrogatepass"), self.rank))
-            tokens += n * size
-        return tokens, total, direct
+
+@lru_cache(2)
+def vocabulary(path: str = VOCABULARY) -> Vocabulary:
+    """The vocabulary of a file; its content names it."""
+    with open(path, "rb") as f:
+        return Vocabulary(hashlib.md5(f.read()).hexdigest(), ranks(path), proved(path))
 
 
 def merged_size(piece: bytes, rank: dict[bytes, int]) -> int:
@@ -142,41 +140,72 @@ def merged_size(piece: bytes, rank: dict[bytes, int]) -> int:
     return len(parts)
 
 
-class Sizes(dict):
-    """Tokens of each pre-token: 1 for the proved strings, merged and remembered for any other."""
+class _Remembered(dict):
+    """Values by string, made where they are missing; a full generation becomes the last one, and that one is forgotten."""
 
-    def __init__(self, path: str, whole: frozenset[str] | None = None):
-        self.rank, self.pattern = ranks(path), regex.compile(PATTERN)
-        self.whole = proved(path) if whole is None else whole
-        super().__init__(dict.fromkeys(self.whole, 1))
+    def __init__(self, make):
+        self.make, self.last = make, {}
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= len(self.whole) + _REMEMBERED:
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        size = self[piece] = merged_size(piece.encode("utf-8", "surrogatepass"), self.rank)
-        return size
+    def __missing__(self, key: str) -> int:
+        value = self.last.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= _SHORT:
+            if len(self) >= _REMEMBERED:
+                self.last = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
-    def tokens(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, self.pattern.findall(text or "")))
 
+class Counting:
+    """Counts tokens of texts by a vocabulary."""
 
-_COUNTING: dict[str, Counting] = {}
-_SIZES: dict[str, Sizes] = {}
+    def __init__(self, v: Vocabulary):
+        pattern = regex.compile(PATTERN)
+        merged = _Remembered(lambda piece: merged_size(piece.encode("utf-8", "surrogatepass"), v.rank))
 
+        def chunk(text: str) -> int:
+            tokens = direct = 0
+            pieces = pattern.findall(text)
+            for piece in pieces:
+                if piece in v.whole:
+                    direct += 1
+                else:
+                    tokens += merged[piece]
+            return tokens + direct | len(pieces) << _WIDE | direct << 2 * _WIDE
 
-def n_tokens(spark: SparkSession, text: str = "text", path: str = VOCABULARY) -> Column:
-    """The tokens of a text as a column, those of `token_counts`; 0 for a null or empty one. Texts are read in slices."""
-    sent = spark.sparkContext.broadcast(proved(path))
+        self.chunks = _Remembered(chunk)
+
+    def count(self, text: str | None) -> tuple[int, int, int]:
+        """(tokens, pre-tokens, pre-tokens counted by the shortcut) of a text."""
+        if not text:
+            return 0, 0, 0
+        split = _RARE_CHUNK if any(c in text for c in _SEPARATORS) else _CHUNK
+        found = split.findall(text)
+        if size := len(text) - sum(map(len, found)):
+            found.append(text[-size:])
+        total = sum(map(self.chunks.__getitem__, found))
+        return total & _LOW, total >> _WIDE & _LOW, total >> 2 * _WIDE
 
-    @F.arrow_udf(T.LongType())
+
+def _counts(spark: SparkSession, path: str):
+    """The counts of a column of texts, by the vocabulary that the driver read and sends out. Texts are read in slices."""
+    sent = spark.sparkContext.broadcast(vocabulary(path))
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_pretokens", "n_whole")]))
     def counted(text: pa.Array) -> pa.Array:
-        if path not in _SIZES:
-            _SIZES[path] = Sizes(path, sent.value)
-        count = _SIZES[path].tokens
-        return pa.array([count(t) for i in range(0, len(text), 256) for t in text.slice(i, 256).to_pylist()], pa.int64())
+        v = sent.value
+        count = held(("tokens", v.name), lambda: Counting(v)).count
+        rows = [count(t) for i in range(0, len(text), 256) for t in text.slice(i, 256).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["n_tokens", "n_pretokens", "n_whole"])
+
+    return counted
+
 
-    return counted(text)
+def n_tokens(spark: SparkSession, text: str = "text", path: str = VOCABULARY) -> Column:
+    """The tokens of a text as a column, those of `token_counts`; 0 for a null or empty one."""
+    return _counts(spark, path)(text).n_tokens
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -184,18 +213,10 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     n_whole is the number of pre-tokens that the shortcut counted. A null or
     empty text has none of any; special tokens' strings are ordinary text. Each
-    row is counted on its own: null or repeated ids are reported as they come.
-    An empty table gives no rows. The vocabulary file must be at `path` on
-    every machine; the set of proved strings is sent to them.
+    row is counted on its own: null or repeated ids are reported as they come,
+    ids are of any type. An empty table gives no rows. The driver reads the
+    vocabulary file at `path` and sends it to the executors (its size is the
+    vocabulary's, whatever the input).
     """
-    sent = docs.sparkSession.sparkContext.broadcast(proved(path))
-
-    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_pretokens", "n_whole")]))
-    def counted(text: pa.Array) -> pa.Array:
-        if path not in _COUNTING:
-            _COUNTING[path] = Counting(path, sent.value)
-        count = _COUNTING[path].count
-        rows = [count(t) for t in text.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["n_tokens", "n_pretokens", "n_whole"])
-
-    return docs.select("doc_id", counted("text").alias("c")).select("doc_id", "c.n_tokens", "c.n_pretokens", "c.n_whole")
+    counted = _counts(docs.sparkSession, path)
+    return docs.select("doc_id", counted("text").alias("__tw_c")).select("doc_id", "__tw_c.n_tokens", "__tw_c.n_pretokens", "__tw_c.n_whole")

@@ -1,8 +1,9 @@
 """URL filter: gradient-boosted trees on lexical features of the URL alone.
 
-Trees are grown by level on binned features with the logistic loss, in NumPy on
-the driver, over a bounded number of labelled URLs; every URL is scored where it
-lies, without a shuffle.
+Statistics of a host's suffix are counted over all URLs (how often it occurs)
+and all labelled ones (how many of them are bad), and joined to the URLs. Trees
+are grown by level on binned features with the logistic loss, in NumPy on the
+driver, over a bounded number of labelled URLs.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.session import written
+
 #: Labelled URLs that training uses at most.
-LABELLED, TREES, DEPTH, RATE, BINS, LEAF, RIDGE, HELD, REJECT = 20_000, 60, 4, 0.15, 32, 20, 1.0, 5, 0.5
+LABELLED, TREES, DEPTH, RATE, BINS, LEAF, RIDGE, HELD, REJECT, SMOOTH = 20_000, 60, 4, 0.15, 32, 20, 1.0, 5, 0.5, 20.0
 NAMES = ("length", "host_length", "path_depth", "host_depth", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "fragment", "hyphens", "secure", "longest_number", "suffix_rate", "suffix_count", "file_suffix")
 _PARTS = re.compile(r"^(?:([a-z][a-z0-9+.-]*)://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.I | re.S)
 _SUFFIX, _COUNT = NAMES.index("suffix_rate"), NAMES.index("suffix_count")
@@ -52,24 +55,14 @@ def lexical(url: str | None) -> tuple[list[float], str]:
 
 @dataclass(frozen=True)
 class Trees:
-    """Boosted trees: per tree and inner node (breadth first) the feature and the limit, per leaf the value; suffix statistics."""
+    """Boosted trees: per tree and inner node (breadth first) the feature and the limit, per leaf the value; `auc` on held-out rows."""
 
     feature: np.ndarray
     limit: np.ndarray
     leaf: np.ndarray
     base: float
-    suffixes: dict[str, tuple[float, float]]
-    prior: float
     auc: float | None = None
 
-    def matrix(self, urls: list) -> np.ndarray:
-        rows = []
-        for u in urls:
-            x, s = lexical(u)
-            x[_SUFFIX], x[_COUNT] = self.suffixes.get(s, (self.prior, 0.0))
-            rows.append(x)
-        return np.array(rows, float).reshape(-1, len(NAMES))
-
     def raw(self, x: np.ndarray) -> np.ndarray:
         out, rows = np.full(len(x), self.base), np.arange(len(x))
         for feature, limit, leaf in zip(self.feature, self.limit, self.leaf, strict=True):
@@ -79,27 +72,14 @@ class Trees:
             out += leaf[node - (2**DEPTH - 1)]
         return out
 
-    def probability(self, urls: list) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.raw(self.matrix(urls)))) if urls else np.zeros(0)
-
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.raw(x))) if len(x) else np.zeros(0)
 
-def _suffix_statistics(urls: list, y: np.ndarray, smooth: float = 20.0) -> tuple[dict[str, tuple[float, float]], float]:
-    prior = float(y.mean())
-    total, bad = Counter(), Counter()
-    for u, v in zip(urls, y, strict=True):
-        s = lexical(u)[1]
-        total[s] += 1
-        bad[s] += v
-    return {s: ((bad[s] + smooth * prior) / (n + smooth), math.log1p(n)) for s, n in total.items()}, prior
 
-
-def _leave_one_out(x: np.ndarray, urls: list, y: np.ndarray, prior: float, smooth: float = 20.0) -> np.ndarray:
-    """A training row's suffix statistic must not hold its own label."""
-    keys = [lexical(u)[1] for u in urls]
-    total, bad = Counter(keys), Counter()
-    for k, v in zip(keys, y, strict=True):
-        bad[k] += v
-    x[:, _SUFFIX] = [(bad[k] - v + smooth * prior) / (total[k] - 1 + smooth) for k, v in zip(keys, y, strict=True)]
+def matrix(urls: list, rates: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of NAMES for each URL, with its suffix's share of bad URLs and number of URLs."""
+    x = np.array([lexical(u)[0] for u in urls], float).reshape(-1, len(NAMES))
+    x[:, _SUFFIX], x[:, _COUNT] = rates, np.log1p(counts)
     return x
 
 
@@ -151,28 +131,17 @@ def auc(score: np.ndarray, y: np.ndarray) -> float | None:
     return float((rank[y > 0].sum() - pos * (pos + 1) / 2) / (pos * neg)) if pos and neg else None
 
 
-def train(urls: list, bad: list) -> Trees:
-    """Trees from labelled URLs; `auc` is that of trees fitted without every HELD-th row, on those rows. One kind of label alone gives its share as constant."""
+def train(x: np.ndarray, bad: list) -> Trees:
+    """Trees from labelled rows; `auc` is that of trees fitted without every HELD-th row, on those rows. One kind of label alone gives its share as constant."""
     y = np.array(bad, float)
-    empty = np.zeros((0, 2**DEPTH - 1))
     if not len(y) or y.min() == y.max():
         rate = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
-        return Trees(empty.astype(int), empty, np.zeros((0, 2**DEPTH)), math.log(rate / (1 - rate)), {}, rate)
-
-    def grown(urls: list, y: np.ndarray) -> Trees:
-        suffixes, prior = _suffix_statistics(urls, y)
-        made = Trees(empty, empty, empty, 0.0, suffixes, prior)
-        x = _leave_one_out(made.matrix(urls), urls, y, prior)
-        feature, limit, leaf, base = boost(x, y)
-        return Trees(feature, limit, leaf, base, suffixes, prior)
-
-    held = np.arange(len(y)) % HELD == 0
-    score = None
+        empty = np.zeros((0, 2**DEPTH - 1))
+        return Trees(empty.astype(int), empty, np.zeros((0, 2**DEPTH)), math.log(rate / (1 - rate)))
+    held, score = np.arange(len(y)) % HELD == 0, None
     if 0 < y[~held].mean() < 1:
-        part = grown([u for u, h in zip(urls, held, strict=True) if not h], y[~held])
-        score = auc(part.probability([u for u, h in zip(urls, held, strict=True) if h]), y[held])
-    full = grown(urls, y)
-    return Trees(full.feature, full.limit, full.leaf, full.base, full.suffixes, full.prior, score)
+        score = auc(Trees(*boost(x[~held], y[~held])).probability(x[held]), y[held])
+    return Trees(*boost(x, y), score)
 
 
 def junk_page(html: str = "html") -> Column:
@@ -182,20 +151,58 @@ def junk_page(html: str = "html") -> Column:
     return F.when(F.col(html).isNotNull(), (F.regexp_count(text, F.lit(r"[*%$#&]{3}|!!")) > 0.05 * words).cast("int"))
 
 
-def fit(labelled: DataFrame, rows: int = LABELLED) -> Trees:
-    """Trees from `labelled` (url, bad); at most `rows` of them, those of the smallest hashes. Null labels are skipped."""
-    chosen = labelled.where("bad is not null").select("url", F.col("bad").cast("int").alias("bad"), F.xxhash64("url").alias("h")).orderBy("h", "url", "bad").limit(rows).toArrow()
-    return train(chosen["url"].to_pylist(), chosen["bad"].to_pylist())
+@F.arrow_udf(T.StringType())
+def _suffix(url: pa.Array) -> pa.Array:
+    return pa.array([lexical(u)[1] for u in url.to_pylist()], pa.string())
+
+
+def with_suffixes(urls: DataFrame, pages: DataFrame, labelled: DataFrame) -> tuple[DataFrame, float]:
+    """`urls` with what its suffix has: __tw_n URLs in `pages`, __tw_l labelled ones, __tw_b of them bad; and the share of bad URLs.
+
+    Counts are over all rows. The table of suffixes is joined by the planner's
+    choice, as its size is unknown; partial sums come before the shuffle, so a
+    suffix that most URLs share is one row by then.
+    """
+    known = labelled.where("bad is not null").select(_suffix("url").alias("__tw_s"), F.col("bad").cast("int").alias("bad")).groupBy("__tw_s").agg(F.count("*").alias("__tw_l"), F.sum("bad").alias("__tw_b"))
+    seen = pages.select(_suffix("url").alias("__tw_s")).groupBy("__tw_s").agg(F.count("*").alias("__tw_n"))
+    stats = written(seen.join(known, "__tw_s", "full").na.fill(0, ["__tw_n", "__tw_l", "__tw_b"]), "suffixes")
+    total = stats.agg(F.coalesce(F.try_divide(F.sum("__tw_b"), F.sum("__tw_l")), F.lit(0.0)).alias("p")).first()["p"]
+    return urls.withColumn("__tw_s", _suffix("url")).join(stats, "__tw_s", "left").drop("__tw_s").na.fill(0, ["__tw_n", "__tw_l", "__tw_b"]), float(total)
+
+
+def _rate(bad, labelled, prior: float):
+    """The share of bad URLs, drawn towards that of all by SMOOTH rows."""
+    return (bad + SMOOTH * prior) / (labelled + SMOOTH)
+
+
+def fit(labelled: DataFrame, pages: DataFrame | None = None, rows: int = LABELLED) -> Trees:
+    """Trees from `labelled` (url, bad); at most `rows` of them, those of the smallest hashes. Null labels are skipped.
+
+    Suffixes are counted over all of `pages` (by default the labelled URLs) and
+    all labels; a training row's share of bad URLs doesn't count its own label.
+    An empty table gives one score for all; a row that repeats counts again.
+    """
+    chosen = labelled.where("bad is not null").select("url", F.col("bad").cast("int").alias("bad"), F.xxhash64("url").alias("h")).orderBy("h", "url", "bad").limit(rows)
+    with_stats, prior = with_suffixes(chosen, labelled if pages is None else pages, labelled)
+    got = with_stats.orderBy("h", "url", "bad").toArrow()
+    y, n, lab, bad = (np.asarray(got[c], float) for c in ("bad", "__tw_n", "__tw_l", "__tw_b"))
+    return train(matrix(got["url"].to_pylist(), _rate(bad - y, lab - 1, prior), n), y)
 
 
 def url_scores(pages: DataFrame, labelled: DataFrame, reject: float = REJECT, trees: Trees | None = None) -> DataFrame:
     """(page_id, url, score, reject): the probability that a URL is bad, and whether it is above `reject`.
 
-    Every row is scored by its URL alone. A null or empty URL has zero features
-    and is scored like any other; null and repeated ids are reported as they
-    come. Without labels of both kinds all get one score. An empty table gives
-    no rows.
+    Every row is scored by its URL and the statistics of its suffix. A null or
+    empty URL has zero features and is scored like any other; null and repeated
+    ids are reported as they come, ids are of any type. Without labels of both
+    kinds all get one score. An empty table gives no rows.
     """
-    model = pages.sparkSession.sparkContext.broadcast(trees or fit(labelled))
-    score = F.arrow_udf(lambda url: pa.array(model.value.probability(url.to_pylist())), T.DoubleType())
-    return pages.select("page_id", "url", F.round(score("url"), 6).alias("score")).withColumn("reject", F.col("score") > reject)
+    model = pages.sparkSession.sparkContext.broadcast(trees or fit(labelled, pages))
+    rows, prior = with_suffixes(pages.select("page_id", "url"), pages, labelled)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(url: pa.Array, n: pa.Array, labelled: pa.Array, bad: pa.Array) -> pa.Array:
+        n, lab, b = (np.asarray(c, float) for c in (n, labelled, bad))
+        return pa.array(model.value.probability(matrix(url.to_pylist(), _rate(b, lab, prior), n)))
+
+    return rows.select("page_id", "url", F.round(score("url", "__tw_n", "__tw_l", "__tw_b"), 6).alias("score")).withColumn("reject", F.col("score") > reject)

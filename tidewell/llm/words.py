@@ -28,6 +28,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"][:n], _POW["down"][:n]
 
 
+#: What an executor's Python remembers from task to task: of one operator and model at a time, so that workers which live on don't pile it up.
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The value that this worker holds under `key`, made anew if another took its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))
