@@ -162,10 +162,43 @@ def test_graph(spark):
     docs = spark.createDataFrame([(1, "Alice works at Acme. Paris is located in France."), (2, None)], "doc_id long, text string")
     assert {(r["src"], r["dst"], r["type"]) for r in graph.extract_relations(docs).collect()} == {("alice", "acme", "works_at"), ("paris", "france", "located_in")}
     assert graph.named_entities("Ada Lovelace met The Analytical Society Members here") == [("ada", "Ada"), ("lovelace", "Lovelace"), ("the analytical society members", "The Analytical Society Members")]
-    triples = [(f"a{i}", "r", f"b{i}") for i in range(20)]
-    m = graph.TransE.train(triples, dim=16, epochs=200, rate=0.05)
-    ranks_ = [[e for e, _ in m.predict(h, r, None, 40)].index(t) + 1 for h, r, t in triples]
-    assert np.mean(ranks_) < 10
+
+
+def test_translation_embeddings(spark):
+    """Trained in three parts, the true tail of each head is among the first; predictions and ranks agree with NumPy."""
+    triples = [(f"a{i}", "r", f"b{i}", 1.0) for i in range(20)]
+    rel = spark.createDataFrame([*triples, triples[0], (None, "r", "b1", 1.0)], "src string, dst0 string, dst string, weight double").withColumnRenamed("dst0", "type")
+    v = {(r["kind"], r["id"]): np.array(r["vector"]) for r in graph.transe(rel, dim=16, rounds=10, epochs=20, rate=0.05, part_triples=7).collect()}
+    assert {k for k in v if k[0] == "relation"} == {("relation", "r")} and len(v) == 41
+    ids = sorted(i for k, i in v if k == "entity")
+    e = np.stack([v["entity", i] for i in ids])
+    far = {h: np.sqrt(((v["entity", h] + v["relation", "r"] - e) ** 2).sum(axis=1)) for h, *_ in triples}
+    ranks_ = {h: int((far[h] < far[h][ids.index(t)]).sum()) + 1 for h, _, t, _ in triples}
+    assert np.mean(list(ranks_.values())) < 10
+    lists = lambda x: [float(a) for a in x]
+    entities = spark.createDataFrame([(i, lists(v["entity", i])) for i in ids], "id string, vector array<double>")
+    asked = spark.createDataFrame([(h, lists(v["entity", h]), lists(v["relation", "r"]), lists(v["entity", t])) for h, _, t, _ in triples], "query_id string, known array<double>, relation array<double>, truth array<double>")
+    assert {r["query_id"]: r["rank"] for r in graph.link_ranks(asked, entities).collect()} == ranks_
+    got = {(r["query_id"], r["rank"]): r["id"] for r in graph.predict(asked, entities, 3).collect()}
+    assert all(got[h, n + 1] == ids[k] for h in far for n, k in enumerate(np.argsort(far[h], kind="stable")[:3]))
+
+
+def test_paths_and_questions(spark):
+    rel = spark.createDataFrame([("a", "b", "knows", 0.9), ("c", "b", "knows", 0.5), ("b", "c", "likes", 0.6), ("c", "d", "part_of", 0.4), ("d", "e", "part_of", 0.4)], "src string, dst string, type string, weight double")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = {(r["start"], r["goal"]): (r["path"], r["weights"]) for r in graph.explore(rel, ids("a", "e"), ids("a", "c", "d", "e")).collect()}
+    assert got == {("a", "c"): (["a", "b", "c"], [0.9, 0.6]), ("a", "d"): (["a", "b", "c", "d"], [0.9, 0.6, 0.4]), ("e", "d"): (["e", "d"], [0.4]), ("e", "c"): (["e", "d", "c"], [0.4, 0.4])}
+    entities = spark.createDataFrame([("a", "Alice"), ("c", "Carol"), ("e", "Eve")], "id string, label string")
+    asked = spark.createDataFrame([(1, "Does Alice know Carol?"), (2, "Is Alice near Eve?"), (3, "Who is Bob?"), (4, None)], "query_id long, query string")
+    rows = graph.reason(asked, entities, rel).collect()
+    assert [(r["query_id"], r["source"], r["target"], round(r["confidence"], 6)) for r in rows] == [(1, "a", "c", 0.54)]
+    both = rel.union(spark.createDataFrame([("p", "q", "parent_of", 1.0), ("q", "p", "parent_of", 0.5), ("p", "x", "parent_of", 1.0)], rel.schema))
+    assert {tuple(r) for r in graph.one_way(both).collect()} == {("p", "q", "not_parent_of", 0.5), ("q", "p", "not_parent_of", 0.25)}
+    assert {r["rule"] for r in graph.infer(both, rules={"one_way": graph.one_way}, least=0.0).collect()} == {"one_way"}
+    ring = spark.createDataFrame([("a", "b", "in", 1.0), ("b", "c", "in", 1.0), ("c", "a", "in", 1.0)], rel.schema)
+    assert {(r["src"], r["dst"], r["depth"]) for r in graph.ancestors(ring, ("in",)).collect()} == {("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("a", "c", 2), ("b", "a", 2), ("c", "b", 2)}
+    long = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", "t", 1.0) for i in range(60)], rel.schema)
+    assert max(r["depth"] for r in graph.distances(long, ids("n000")).collect()) == 60
 
 
 def test_metrics_anchors(spark):
@@ -208,6 +241,12 @@ def test_cluster_and_metrics(spark):
     placed = {r["key"]: r["node"] for r in cluster.owners(keys, nodes).collect()}
     more = {r["key"]: r["node"] for r in cluster.owners(keys, nodes.union(spark.createDataFrame([("n3",)], "node string"))).collect()}
     assert len(placed) == 50 and all(more[k] in (placed[k], "n3") for k in placed)
+    three = {r["key"]: r["nodes"] for r in cluster.replicas(keys, spark.createDataFrame([(f"n{i}",) for i in range(5)], "node string"), 3).collect()}
+    four = {r["key"]: r["nodes"] for r in cluster.replicas(keys, spark.createDataFrame([(f"n{i}",) for i in range(4)], "node string"), 3).collect()}
+    assert all(len(set(v)) == 3 for v in three.values()) and all([x for x in v if x != "n4"] == four[k][: len([x for x in v if x != "n4"])] for k, v in three.items())
+    moved = cluster.rebalance(keys, spark.createDataFrame([(f"n{i}",) for i in range(5)], "node string"), spark.createDataFrame([(f"n{i}",) for i in range(4)], "node string"), 3).collect()
+    assert {r["key"] for r in moved} == {k for k, v in three.items() if "n4" in v} and all(r["target"] in four[r["key"]] and r["source"] in three[r["key"]] for r in moved)
+    assert {tuple(r["nodes"]) for r in cluster.replicas(keys, nodes.limit(0)).collect()} == {()}
     h = analytics.histogram(spark.createDataFrame([(0.2,), (3.0,), (None,)], "v double"), "v", (), (1.0, 5.0)).collect()
     assert [tuple(r) for r in h] == [("1.0", 1), ("5.0", 2), ("+Inf", 2)]
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VIRTUAL = 150
 
@@ -20,16 +23,51 @@ def ring(nodes: DataFrame, virtual: int = VIRTUAL) -> DataFrame:
     return each.select(ring_hash(F.concat("node", F.lit("#"), F.col("v").cast("string"))).alias("at"), "node")
 
 
-def owners(keys: DataFrame, nodes: DataFrame, key: str = "key", virtual: int = VIRTUAL) -> DataFrame:
-    """(key, node): the node of the first virtual node at or after the key's hash, the first of all beyond the last.
+#: Points of a ring that are sent to the executors at most (24 bytes each); more nodes than that are an error.
+RING_POINTS = 4_000_000
+
 
-    The ring is one sorted array, so that a key is placed by a look-up in its
-    row instead of a range join.
+def replicas(keys: DataFrame, nodes: DataFrame, n: int = 1, key: str = "key", virtual: int = VIRTUAL) -> DataFrame:
+    """(key, nodes): the first n distinct nodes clockwise from each key's hash, its owner first; all nodes if they are fewer.
+
+    The ring's size is checked before it is sent; a key is placed by binary
+    search, and each point knows the nodes that follow it. Without nodes a key
+    has none.
     """
-    points = ring(nodes, virtual).agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("ring"))
-    rows = keys.select(F.col(key).alias("key"), ring_hash(F.col(key)).alias("h")).crossJoin(F.broadcast(points))
-    after = F.get(F.filter("ring", lambda p: p["at"] >= F.col("h")), F.lit(0))
-    return rows.select("key", F.coalesce(after["node"], F.get("ring", F.lit(0))["node"]).alias("node"))
+    points = ring(nodes.distinct(), virtual)
+    if (size := points.count()) > RING_POINTS:
+        raise ValueError(f"a ring of {size} points is beyond {RING_POINTS}")
+    rows = sorted((int(r["at"]), r["node"]) for r in points.collect())
+    at, owner = np.array([a for a, _ in rows], np.uint64), [o for _, o in rows]
+    most = min(n, len(set(owner)))
+    follow: list[list[str]] = [[] for _ in rows]
+    ahead: list[str] = []
+    # Backwards over two turns, so that the last points see the first ones.
+    for i in range(2 * len(rows) - 1, -1, -1):
+        o = owner[i % len(rows)]
+        ahead = [o, *(x for x in ahead if x != o)][:most]
+        follow[i % len(rows)] = ahead
+    sent = keys.sparkSession.sparkContext.broadcast((at, follow))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def place(h: pa.Array) -> pa.Array:
+        spots, after = sent.value
+        found = np.searchsorted(spots, np.array([int(x) for x in h.to_pylist()], np.uint64), "left")
+        return pa.array([after[i % len(after)] if after else [] for i in found.tolist()], pa.list_(pa.string()))
+
+    return keys.select(F.col(key).alias("key"), place(ring_hash(F.col(key))).alias("nodes"))
+
+
+def owners(keys: DataFrame, nodes: DataFrame, key: str = "key", virtual: int = VIRTUAL) -> DataFrame:
+    """(key, node): the node of the first virtual node at or after the key's hash, the first of all beyond the last."""
+    return replicas(keys, nodes, 1, key, virtual).select("key", F.get("nodes", F.lit(0)).alias("node"))
+
+
+def rebalance(keys: DataFrame, before: DataFrame, after: DataFrame, n: int = 1, key: str = "key") -> DataFrame:
+    """(key, source, target): what must be copied when the nodes change: each replica that a key gains, from its first replica that stays, else its old owner."""
+    old, new = replicas(keys, before, n, key).withColumnRenamed("nodes", "old"), replicas(keys, after, n, key)
+    rows = old.join(new, "key").select("key", F.coalesce(F.get(F.array_intersect("old", "nodes"), F.lit(0)), F.get("old", F.lit(0))).alias("source"), F.explode(F.array_except("nodes", "old")).alias("target"))
+    return rows
 
 
 def shard_of(chunk_id: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.session import written
+
 
 def content_hash(text: str = "text") -> Column:
     """Hex SHA-256 of a text's bytes."""
@@ -15,12 +17,20 @@ def content_hash(text: str = "text") -> Column:
 
 
 def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seen: DataFrame | None = None) -> DataFrame:
-    """The row of the smallest id of each distinct text; those whose hash is in `seen(hash)` go too. Null texts are one text."""
-    first = W.partitionBy("__tw_hash").orderBy(F.asc_nulls_last(id_col))
-    rows = docs.withColumn("__tw_hash", F.coalesce(content_hash(text_col), F.lit("")))
+    """The row of the smallest id (null ids last) of each distinct text; those whose hash is in `seen(hash)` go too. Null texts are one text.
+
+    The smallest ids are found from ids and hashes alone, by partial minima;
+    rows are numbered only where an id repeats with its text.
+    """
+    rows = docs.withColumns({"__tw_hash": F.coalesce(content_hash(text_col), F.lit("")), "__tw_id": F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"))})
+    ids = rows.select("__tw_hash", "__tw_id")
     if seen is not None:
-        rows = rows.join(seen.select(F.col("hash").alias("__tw_hash")), "__tw_hash", "left_anti")
-    return rows.withColumn("__tw_n", F.row_number().over(first)).where("__tw_n = 1").select(*docs.columns)
+        ids = ids.join(seen.select(F.col("hash").alias("__tw_hash")), "__tw_hash", "left_anti")
+    first = written(ids.groupBy("__tw_hash", "__tw_id").agg(F.count("*").alias("n")).groupBy("__tw_hash").agg(F.min(F.struct("__tw_id", "n")).alias("m")).select("__tw_hash", "m.__tw_id", F.col("m.n").alias("__tw_n")), "firsts")
+    kept = rows.join(first.withColumnsRenamed({"__tw_hash": "__tw_h", "__tw_id": "__tw_i"}), (F.col("__tw_hash") == F.col("__tw_h")) & F.col("__tw_id").eqNullSafe(F.col("__tw_i")))
+    again = kept.where("__tw_n > 1").withColumn("__tw_k", F.row_number().over(W.partitionBy("__tw_hash").orderBy("__tw_hash"))).where("__tw_k = 1")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.where("__tw_n = 1").select(*own).unionAll(again.select(*own))
 
 
 def incremental_delta(docs: DataFrame, state: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

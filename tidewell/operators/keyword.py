@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import terms
+from tidewell.operators.ranks import spread_rank
 from tidewell.session import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -25,6 +25,16 @@ def postings(indexed: DataFrame) -> DataFrame:
     return indexed.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
+def remove(indexed: DataFrame, gone: DataFrame) -> DataFrame:
+    """An index without the documents of `gone` (doc_id)."""
+    return indexed.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def add(indexed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """An index with new documents; one that it has already is replaced, a null text takes it out."""
+    return remove(indexed, docs.select(F.col(id_col).alias("doc_id"))).unionByName(index(docs, id_col, text_col))
+
+
 def corpus_statistics(indexed: DataFrame) -> DataFrame:
     """One row (n_docs, avgdl)."""
     return indexed.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
@@ -33,21 +43,23 @@ def corpus_statistics(indexed: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "query", by: str | None = None, own: bool = False) -> DataFrame:
     """(query_id, doc_id, score) of all documents with a score above 0, for every query.
 
-    Only terms that occur in a query are counted: they meet the exploded terms
-    in a join before the count by document, so the full inverted index is never
-    shuffled. A repeated query term counts again. With `by`, a column of
-    `docs`, statistics are those of each group and scores stay inside it; with
-    `own`, the group is the one query that searches it (a candidate list).
+    Texts are taken apart once. Only terms that occur in a query are counted:
+    they meet the exploded terms in a join before the count by document, so the
+    full inverted index is never shuffled; an empty term, which no text has,
+    stands for each document itself and carries its length. A repeated query
+    term counts again. With `by`, a column of `docs`, statistics are those of
+    each group and scores stay inside it; with `own`, the group is the one
+    query that searches it (a candidate list).
     """
     group = [by] if by else []
-    indexed = docs.where("text is not null").select(F.col("doc_id"), *group, terms("text").alias("terms")).withColumn("dl", F.size("terms").cast("long"))
+    indexed = docs.where("text is not null").select(F.col("doc_id"), *group, terms("text").alias("terms"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(terms(query_text)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    wanted = asked.select("term").distinct()
-    tf = indexed.select("doc_id", *group, "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy(*group, "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    # Read twice below; what is written holds the queries' terms alone.
-    tf = written(tf, "postings")
+    wanted = asked.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    each = indexed.select("doc_id", *group, F.size("terms").cast("long").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    found = written(each.join(wanted, "term").groupBy(*group, "term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
+    tf = found.where("term <> ''")
+    stats = found.where("term = ''").groupBy(*group).agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     df = tf.groupBy(*group, "term").agg(F.count("*").alias("df"))
-    stats = indexed.groupBy(*group).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     idf = df.join(stats, group) if by else df.crossJoin(stats)
     idf = idf.select(*group, "term", F.log((F.col("n_docs") + 1) / (F.col("df") + 1) + 1).alias("idf"), "avgdl")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -67,9 +79,13 @@ def fuse_weighted(lists: list[DataFrame], alpha: float, keys: tuple[str, ...] =
 
 
 def fuse_rrf(lists: list[DataFrame], k: int = RRF_K, keys: tuple[str, ...] = ("query_id", "doc_id")) -> DataFrame:
-    """Sum of 1 / (k + rank) over the lists, ranks from 1 by score, then id."""
-    order = W.partitionBy(*keys[:-1]).orderBy(F.desc("score"), keys[-1])
-    parts = [x.select(*keys, (1.0 / (k + F.row_number().over(order))).alias("score")) for x in lists]
+    """Sum of 1 / (k + rank) over the lists, ranks from 1 by score, then id.
+
+    Every row has a rank, so a list isn't cut; it is numbered by buckets of the
+    score, that a query which most documents match is no task's alone.
+    """
+    order = [F.desc("score"), keys[-1]]
+    parts = [spread_rank(x.select(*keys, "score"), F.floor(-F.col("score") * 4), order, keys[:-1]).select(*keys, (1.0 / (k + F.col("rank"))).alias("score")) for x in lists]
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum("score").alias("score"))
 
 

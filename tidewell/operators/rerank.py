@@ -58,6 +58,19 @@ def fit_ltr(x: np.ndarray, y: np.ndarray, rate: float = 0.5, epochs: int = 200,
     return w
 
 
+#: Labelled candidates that weights are fitted on at most.
+LTR_ROWS = 100_000
+
+
+def fit_sample(rows: DataFrame, most: int = LTR_ROWS) -> np.ndarray | None:
+    """Weights from labelled features (f_score, f_overlap, f_length, y): at most `most` rows, those of the smallest hashes of query and document; None without any."""
+    some = rows.orderBy(F.xxhash64("query_id", "doc_id"), "query_id", "doc_id").limit(most).select("f_score", "f_overlap", "f_length", F.col("y").cast("double")).toArrow()
+    if not some.num_rows:
+        return None
+    x = np.stack([np.asarray(c, float) for c in some.columns], axis=1)
+    return fit_ltr(x[:, :3], x[:, 3])
+
+
 def ltr(candidates: DataFrame, weights: np.ndarray | None) -> DataFrame:
     """Sigmoid of the weighted features; without weights the coarse score."""
     rows = ltr_features(candidates)

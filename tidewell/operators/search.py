@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.session import written
 
@@ -51,7 +52,7 @@ def _blocks(vectors: DataFrame, id_col: str, vec_col: str, side: str) -> DataFra
     return rows.mapInArrow(pack, f"{side}_dim int, {side}_ids binary, {side}_values binary")
 
 
-def _crossed(q: DataFrame, c: DataFrame) -> DataFrame:
+def crossed(q: DataFrame, c: DataFrame) -> DataFrame:
     """Every block of queries with every block of the corpus, a task for each of the former.
 
     There is no key to shuffle by: the planner broadcasts the corpus where it is
@@ -90,10 +91,47 @@ def batch_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
                     yield pa.record_batch([pa.array(qi[a]), pa.array(ci[b]), pa.array(s[a, b])], schema=_PAIRS)
 
     q, c = written(_blocks(queries, query_id, vec, "q"), "query-blocks"), written(_blocks(corpus, vec_id, vec, "c"), "corpus-blocks")
-    found = _crossed(q, c).mapInArrow(product, _PAIRS_SQL)
+    found = crossed(q, c).mapInArrow(product, _PAIRS_SQL)
     return top_k_by(found.withColumn("score", F.round("score", 9)), ["query_id"], k)
 
 
+def batch_nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k vectors of `corpus` (id, vector) nearest to each of `queries` (query_id, vector); the score is minus the Euclidean distance.
+
+    Blocks meet as in `batch_top_k`; ids are of any type, ties go by the id.
+    """
+    q_type, c_type = queries.schema["query_id"].dataType, corpus.schema["id"].dataType
+    schema = pa.schema([("query_id", to_arrow_type(q_type)), ("id", to_arrow_type(c_type)), ("score", pa.float64())])
+
+    def pack(side: str, size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    v = np.array(part.column(1).to_pylist(), float)
+                    yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([v.tobytes()])], names=[f"{side}_ids", f"{side}_values"])
+
+        return run
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                q, c = (np.frombuffer(row[f"{s}_values"]).reshape(len(row[f"{s}_ids"]), -1) for s in "qc")
+                norm = (c * c).sum(axis=1)
+                for i, x in zip(row["q_ids"], q, strict=True):
+                    near = norm - 2 * c @ x
+                    some = np.arange(len(c)) if len(c) <= k else np.flatnonzero(near <= np.partition(near, k - 1)[k - 1] + 1e-6)
+                    score = np.round(-np.sqrt(((c[some] - x) ** 2).sum(axis=1)), 9)
+                    best = sorted(zip(-score, (row["c_ids"][n] for n in some), strict=True))[:k]
+                    yield pa.record_batch([pa.array([i] * len(best), schema[0].type), pa.array([b for _, b in best], schema[1].type), pa.array([-s for s, _ in best])], schema=schema)
+
+    q = queries.select("query_id", F.col("vector").cast("array<double>")).mapInArrow(pack("q", 256), f"q_ids array<{q_type.simpleString()}>, q_values binary")
+    c = corpus.select("id", F.col("vector").cast("array<double>")).mapInArrow(pack("c", CORPUS_BLOCK), f"c_ids array<{c_type.simpleString()}>, c_values binary")
+    found = crossed(written(q, "query-blocks"), written(c, "corpus-blocks")).mapInArrow(product, f"query_id {q_type.simpleString()}, id {c_type.simpleString()}, score double")
+    return top_k_by(found, ["query_id"], k, tie="id")
+
+
 def item_scores(queries: DataFrame, corpus: DataFrame, item: str, top: int = 3, vec: str = "embedding") -> DataFrame:
     """(query_id, item, maxsim, mean, topmean): cosines of each query to the vectors of each item, over all of them."""
     schema = "query_id long, item long, best array<double>, total double, n long"
@@ -116,7 +154,7 @@ def item_scores(queries: DataFrame, corpus: DataFrame, item: str, top: int = 3,
     rows = corpus.where(F.size(vec) > 0).select(F.col(item).cast("long").alias("item"), salt, F.col(vec).cast("array<double>").alias("v"))
     c = written(rows.groupBy("item", "salt").applyInArrow(pack, "item long, c binary"), "items")
     q = written(_blocks(queries, "vec_id", vec, "q"), "query-blocks")
-    parts = _crossed(q, c).mapInArrow(run, schema)
+    parts = crossed(q, c).mapInArrow(run, schema)
     merged = parts.groupBy("query_id", "item").agg(F.flatten(F.collect_list("best")).alias("best"), F.sum("total").alias("total"), F.sum("n").alias("n"))
     first = F.slice(F.sort_array("best", asc=False), 1, top)
     mean = F.aggregate(first, F.lit(0.0), lambda a, x: a + x) / F.size(first)
@@ -150,7 +188,7 @@ def mean_distance(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     rows = vectors.where(F.size(vec) > 0).select(F.col("vec_id").cast("long"), F.col(vec).cast("array<double>"))
     blocks = written(rows.mapInArrow(pack, "first long, dim int, v binary"), "blocks")
     other = blocks.select(F.col("first").alias("other"), F.col("dim").alias("other_dim"), F.col("v").alias("w"))
-    sums = _crossed(blocks, other).where("first <= other").mapInArrow(run, "total double, n long")
+    sums = crossed(blocks, other).where("first <= other").mapInArrow(run, "total double, n long")
     return sums.agg(F.sum("n").alias("n_pairs"), (F.sum("total") / F.sum("n")).alias("mean_l2"))
 
 

@@ -57,9 +57,8 @@ def ltr_features(t):
 def ltr_rerank(t):
     """Weights from candidates whose document is labelled: good quality is relevant."""
     cand = candidates(t)
-    rows = rerank.ltr_features(cand).join(t.labels.groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id").select("f_score", "f_overlap", "f_length", "y").toPandas()
-    weights = rerank.fit_ltr(rows.iloc[:, :3].to_numpy(float), rows["y"].to_numpy(float)) if len(rows) else None
-    out = rerank.ltr(cand, weights)
+    rows = rerank.ltr_features(cand).join(t.labels.groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id")
+    out = rerank.ltr(cand, rerank.fit_sample(rows))
     return out.select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
 
 
@@ -128,7 +127,7 @@ def query_decompose(t):
 @query(f"""WITH e AS (SELECT conv_id, turn, list_distinct(list_transform({_ENTS}, lambda w: lower(w))) AS es FROM ({_USER})), x AS (SELECT conv_id, turn, unnest(es) AS entity FROM e),
 pr AS (SELECT lower(p[1]) AS a, lower(p[2]) AS b, count(*) AS n FROM (SELECT unnest(list_zip(es[1:len(es) - 1], es[2:])) AS p FROM (SELECT list_sort(es) AS es FROM e) WHERE len(es) > 1) GROUP BY 1, 2),
 rk AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pr)
-SELECT conv_id, turn, entity, b AS expansion, round(0.7 * 0.7 * 0.5, 6) AS confidence FROM x JOIN rk ON rk.a = x.entity WHERE r <= 5""")
+SELECT conv_id, turn, entity, b AS expansion, round(0.7 * 0.7 * 0.5 * n / sum(n) OVER (PARTITION BY conv_id, turn, entity), 6) AS confidence FROM x JOIN rk ON rk.a = x.entity WHERE r <= 5""")
 def query_expand(t):
     """Entities of each query with at most five neighbours from the graph of entities that are named together."""
     es = F.array_distinct(F.transform(X.query_entities("q"), lambda w: F.lower(w)))
@@ -139,7 +138,8 @@ def query_expand(t):
     graph = pairs.groupBy("entity", "expansion").agg(F.count("*").alias("n"))
     near = graph.withColumn("r", F.row_number().over(W.partitionBy("entity").orderBy(F.desc("n"), "expansion"))).where("r <= 5")
     asked = rows.select("conv_id", "turn", F.explode("es").alias("entity"))
-    return asked.join(near, "entity").select("conv_id", "turn", "entity", "expansion", F.lit(round(0.7 * 0.7 * 0.5, 6)).alias("confidence"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy("conv_id", "turn", "entity"))
+    return asked.join(near, "entity").select("conv_id", "turn", "entity", "expansion", F.round(0.7 * 0.7 * 0.5 * share, 6).alias("confidence"))
 
 
 @query()
@@ -160,9 +160,9 @@ def adaptive_search(t):
 # --- contexts
 
 
-@query("SELECT doc_id, replace(replace('Use {{.Source}} to answer: {{.Text}}', '{{.Source}}', source), '{{.Text}}', substr(text, 1, 80)) AS prompt FROM documents")
+@query("SELECT doc_id, replace(replace('Use {{.Source}} to answer: {{.Text}}', '{{.Source}}', source), '{{.Text}}', text) AS prompt FROM documents")
 def render_prompt(t):
-    return t.documents.select("doc_id", context.render("Use {{.Source}} to answer: {{.Text}}", Source="source", Text=F.substring("text", 1, 80)).alias("prompt"))
+    return t.documents.select("doc_id", context.render("Use {{.Source}} to answer: {{.Text}}", Source="source", Text="text").alias("prompt"))
 
 
 def _content(c: str, least: int = 3) -> str:
@@ -174,7 +174,7 @@ f AS (SELECT doc_id, w, count(DISTINCT i) AS f FROM w GROUP BY ALL), sc AS (SELE
 r AS (SELECT e.doc_id, e.i, e.s, row_number() OVER (PARTITION BY e.doc_id ORDER BY round(coalesce(sc.s, 0) + 0.1::DOUBLE * (n - e.i) / n, 9) DESC, e.i) AS r FROM e LEFT JOIN sc USING (doc_id, i))
 SELECT d.doc_id, coalesce(x.summary, '') AS summary FROM s d LEFT JOIN (SELECT doc_id, string_agg(s, ' ' ORDER BY i) AS summary FROM r WHERE r <= 3 GROUP BY doc_id) x USING (doc_id)""")
 def extractive_summary(t):
-    return context.summarize(t.documents)
+    return context.summarize(t.texts("documents"))
 
 
 @query(f"WITH {_CAND} SELECT query_id, rank AS number, doc_id, round(score, 6) AS score, coalesce({_SENTENCES.format(c='text')}[1], '') AS snippet FROM cd")
@@ -188,7 +188,7 @@ SELECT conv_id, turn, count(*) AS n_claims, round(avg(CASE WHEN found::DOUBLE /
 def hallucination_rate(t):
     """Every assistant turn against the words of all documents."""
     answers = t.conversations.where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("answer_id"), "text")
-    c = evaluate.claims(answers, t.documents)
+    c = evaluate.claims(answers, t.texts("documents"))
     return c.groupBy("answer_id").agg(F.count("*").alias("n_claims"), F.round(F.avg(1.0 - F.col("supported").cast("double")), 6).alias("rate")).select("answer_id.conv_id", "answer_id.turn", "n_claims", "rate")
 
 
@@ -470,9 +470,30 @@ def ring_assignment(t):
     return cluster.owners(t.documents.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("key")), _nodes(t).select("node"))
 
 
-@query("SELECT substr(sha256(text), 1, 2) AS shard, count(*) AS n FROM documents GROUP BY 1")
+_RING = f"""r AS (SELECT {_HASH.format(c="node || '#' || v")} AS spot, node FROM ({_NODES}) n, (SELECT unnest(range(150)) AS v)), k AS (SELECT 'user-' || user_id AS key, {_HASH.format(c="'user-' || user_id")} AS h FROM (SELECT DISTINCT user_id FROM events)),
+o AS (SELECT key, node, min(CASE WHEN spot >= h THEN 0 ELSE 1 END) AS turn, min(CASE WHEN spot >= h THEN spot END) AS a, min(spot) AS b FROM k, r GROUP BY key, node), n AS (SELECT key, node, row_number() OVER (PARTITION BY key ORDER BY turn, CASE WHEN turn = 0 THEN a ELSE b END) AS place FROM o)"""
+
+
+def _users(t):
+    return t.events.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("key")).distinct()
+
+
+@query(f"WITH {_RING} SELECT key, string_agg(node, ',' ORDER BY place) AS nodes FROM n WHERE place <= 3 GROUP BY key")
+def ring_replicas(t):
+    """Three replicas of every user's log."""
+    return cluster.replicas(_users(t), _nodes(t).select("node"), 3).select("key", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query(f"WITH {_RING}, p AS (SELECT n.*, node = 'node-7' AS gone FROM n), w AS (SELECT key, node, row_number() OVER (PARTITION BY key ORDER BY place) AS place FROM p WHERE NOT gone), f AS (SELECT key, arg_min(node, place) AS source FROM p WHERE place <= 3 AND NOT gone GROUP BY key) SELECT w.key, f.source, w.node AS target FROM w JOIN f USING (key) WHERE w.place <= 3 AND NOT EXISTS (SELECT 1 FROM p WHERE p.key = w.key AND p.node = w.node AND p.place <= 3)")
+def ring_rebalance(t):
+    """Copies that are due when node-7 leaves."""
+    nodes = _nodes(t).select("node")
+    return cluster.rebalance(_users(t), nodes, nodes.where("node <> 'node-7'"), 3)
+
+
+@query("SELECT substr(sha256(text), 1, 8) AS shard, count(*) AS n FROM documents GROUP BY 1")
 def shard_distribution(t):
-    return t.documents.groupBy(F.substring(F.sha2("text", 256), 1, 2).alias("shard")).agg(F.count("*").alias("n"))
+    return t.documents.groupBy(cluster.shard_of(F.sha2("text", 256)).alias("shard")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_KW} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM kw) WHERE rank <= 10")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.session import table
+from tidewell.session import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def texts(self, name: str) -> DataFrame:
+        """A table whose rows take long to work on, on all cores."""
+        return texts(self.spark, self.sf_dir, name)
+
 
 def query(sql: str | None = None, name: str | None = None):
     """Registers a function of `Tables` as a query, with its SQL if there is one."""

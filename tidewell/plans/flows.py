@@ -3,26 +3,59 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.embed import mock_vectors
 from tidewell.operators import chunking
 from tidewell.plans.base import query
-from tidewell.sources.files import split_markdown
+from tidewell.session import shared_dir
+from tidewell.sources.files import load_csv, load_json, split_markdown
+from tidewell.sources.files import load_text as load_text_files
 from tidewell.sources.html import html_text
 from tidewell.streaming import streams
 
 
 @query()
 def html_extract(t):
-    return t.pages.select("page_id", html_text()("html").alias("x")).select("page_id", "x.title", "x.content")
+    return t.texts("pages").select("page_id", html_text()("html").alias("x")).select("page_id", "x.title", "x.content")
 
 
-@query("SELECT doc_id, 'doc:' || doc_id AS id, text AS content FROM documents WHERE text <> ''")
+def _folder(t, name: str) -> str:
+    return f"{shared_dir(t.spark)}/tidewell-{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT source AS folder, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT source, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents WHERE text <> '') GROUP BY source")
 def load_text(t):
-    """Each document as one whole text file would be loaded."""
-    return t.documents.where("text <> ''").select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content"))
+    """All texts, written as text files in a folder for each source, and loaded from there."""
+    at = _folder(t, "texts")
+    t.documents.where("text <> ''").select("source", F.regexp_replace("text", "\r", "").alias("value")).write.partitionBy("source").text(at)
+    rows = load_text_files(t.spark, at).withColumn("folder", F.regexp_extract("source", "/source=([^/]*)/", 1))
+    # A file of several texts ends each with a line end, the last one too.
+    lines = rows.select("folder", F.split(F.regexp_replace("content", "\n$", ""), "\n").alias("x"))
+    size = F.aggregate(F.transform("x", lambda v: F.char_length(v).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
+    return lines.groupBy("folder").agg(F.sum(F.size("x").cast("long")).alias("lines"), F.sum(size).alias("chars"))
+
+
+@query("SELECT concat_ws(' | ', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment) AS content, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer")
+def load_csv_row_docs(t):
+    """All customers, written as CSV and loaded as a document each."""
+    at = _folder(t, "csv")
+    t.customer.select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(at)
+    rows = load_csv(t.spark, at, id_col="c_custkey")
+    return rows.select("content", "id", F.col("metadata")["c_name"].alias("name"))
+
+
+@query("SELECT 'e' || event_id AS id, json_extract_string(props, '$.k') AS content, event_type AS kind FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_props_docs(t):
+    """All events, written as JSON objects and loaded by dotted paths."""
+    at = _folder(t, "json")
+    one = F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("key"), F.col("event_type").alias("kind"), F.from_json("props", "k bigint").alias("p")))
+    rows = t.events.select(F.concat(F.lit("["), F.array_join(F.collect_list(one).over(W.partitionBy(F.col("event_id") % 64)), ","), F.lit("]")).alias("value"), F.row_number().over(W.partitionBy(F.col("event_id") % 64).orderBy("event_id")).alias("n"), (F.col("event_id") % 64).alias("part")).where("n = 1")
+    rows.select("part", "value").write.partitionBy("part").text(at)
+    return load_json(t.spark, at, "p.k", "key").select("id", "content", F.col("metadata")["kind"].alias("kind"))
 
 
 @query()
@@ -33,17 +66,17 @@ def load_markdown(t):
 
 @query()
 def chunk_fixed(t):
-    return chunking.chunked(t.documents, chunking.fixed)
+    return chunking.chunked(t.texts("documents"), chunking.fixed)
 
 
 @query()
 def chunk_recursive(t):
-    return chunking.chunked(t.documents, chunking.recursive)
+    return chunking.chunked(t.texts("documents"), chunking.recursive)
 
 
 @query()
 def chunk_semantic(t):
-    return chunking.chunked(t.documents, lambda text: chunking.semantic(text, lambda s: mock_vectors(s, 64)))
+    return chunking.chunked(t.texts("documents"), lambda text: chunking.semantic(text, lambda s: mock_vectors(s, 64)))
 
 
 def _stream(t, name: str):
@@ -57,7 +90,9 @@ def stream_chunk(t):
 
 @query("SELECT event_id, user_id, ts FROM events")
 def stream_dedup(t):
-    return streams.drained(streams.dedup_stream(_stream(t, "events"), ["event_id"], "ts", "1 hour").select("event_id", "user_id", "ts"))
+    """Every event comes twice, and is kept once."""
+    twice = _stream(t, "events").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    return streams.drained(streams.dedup_stream(twice, ["event_id"], "ts", "1 hour").select("event_id", "user_id", "ts"))
 
 
 @query("SELECT user_id, CAST(least(count(*), 100) AS BIGINT) AS held, CAST(epoch_us(max(ts)) AS BIGINT) AS newest, count(*) AS total FROM events GROUP BY user_id")

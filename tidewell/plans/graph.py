@@ -33,10 +33,6 @@ def relations(t):
     return rows.union(one(t.lineitem.select("l_suppkey", "l_partkey").distinct(), "supplier", "l_suppkey", "part", "l_partkey", "supplies", 0.4))
 
 
-def _places(t):
-    return relations(t).where("type <> 'supplies'")
-
-
 @query(f"WITH {_GRAPH} SELECT src, dst, type FROM re WHERE src IN (SELECT id FROM en) AND dst IN (SELECT id FROM en)")
 def valid_relations(t):
     return G.valid_relations(relations(t), entities(t)).select("src", "dst", "type")
@@ -57,16 +53,42 @@ def entities_by_label(t):
     return entities(t).where(F.lower("label").contains("nation_1")).select("id", "label")
 
 
-@query(f"WITH {_GRAPH}, {_BOTH} SELECT x.id AS a, y.id AS b, count(*) AS n FROM nb x JOIN nb y ON x.neighbor = y.neighbor AND x.id < y.id WHERE x.id LIKE 'supplier:%' AND y.id LIKE 'supplier:%' AND x.neighbor LIKE 'nation:%' GROUP BY 1, 2")
+#: Entities that are asked about: those whose key is divisible by 50.
+_ASKED = "CAST(split_part({c}, ':', 2) AS BIGINT) % 50 = 0"
+
+
+def _asked(t):
+    return entities(t).where(F.split_part("id", F.lit(":"), F.lit(2)).cast("long") % 50 == 0)
+
+
+@query(f"WITH {_GRAPH}, {_BOTH} SELECT x.id AS a, y.id AS b, count(*) AS n FROM nb x JOIN nb y ON x.neighbor = y.neighbor AND x.id <> y.id WHERE x.id IN (SELECT id FROM en) AND {_ASKED.format(c='x.id')} AND y.id IN (SELECT id FROM en) GROUP BY 1, 2")
 def graph_common_neighbors(t):
-    return G.common_neighbors(_places(t), entities(t).where("type = 'organization'"))
+    """Every entity whose key is divisible by 50 against all entities, over all relations."""
+    return G.common_neighbors(relations(t), _asked(t), entities(t))
+
+
+@query(f"WITH {_GRAPH} SELECT c.src AS start, s.src AS goal, c.src || '>' || c.dst || '>' || s.src AS path, round(c.weight * s.weight, 6) AS confidence FROM re c JOIN re s ON s.dst = c.dst WHERE c.type = 'located_in' AND s.type = 'located_in' AND c.src LIKE 'customer:%' AND s.src LIKE 'supplier:%' AND {_ASKED.format(c='c.src')}")
+def explore_paths(t):
+    """Paths of at most three steps from the customers that are asked about to all suppliers."""
+    starts, goals = _asked(t).where("type = 'person'"), entities(t).where("type = 'organization'")
+    rows = G.explore(relations(t), starts, goals)
+    return rows.select("start", "goal", F.array_join("path", ">").alias("path"), F.round(F.aggregate("weights", F.lit(1.0), lambda x, y: x * y), 6).alias("confidence"))
+
+
+@query(f"WITH {_GRAPH}, q AS (SELECT c.src AS source, n.dst AS target, c.weight * n.weight AS w, c.src || '>' || c.dst || '>' || n.dst AS path FROM re c JOIN re n ON n.src = c.dst AND n.type = 'part_of' WHERE c.src LIKE 'customer:%' AND c.type = 'located_in' AND {_ASKED.format(c='c.src')}) SELECT source || '?' || target AS query_id, source, target, path, round(w, 6) AS confidence FROM q WHERE target <> 'region:4'")
+def reason_questions(t):
+    """Questions whether a customer is near a region, for each customer that is asked about and each region of one word."""
+    c, r = _asked(t).where("type = 'person'").select(F.col("id").alias("c"), F.col("label").alias("x")), t.region.select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("r"), F.col("r_name").alias("y"))
+    asked = c.crossJoin(r).select(F.concat("c", F.lit("?"), "r").alias("query_id"), F.concat(F.lit("Is "), "x", F.lit(" anywhere near "), "y", F.lit("?")).alias("query"))
+    rows = G.reason(asked, entities(t), relations(t))
+    return rows.select("query_id", "source", "target", F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
 _DIST = f"{_GRAPH}, {_BOTH}, di AS (SELECT 'region:0' AS id, 0 AS depth UNION SELECT neighbor, depth + 1 FROM di JOIN nb USING (id) WHERE depth < 8), ds AS (SELECT id, min(depth) AS depth FROM di GROUP BY id)"
 
 
 def _reached(t):
-    return G.distances(relations(t), entities(t).where("id = 'region:0'"), 8)
+    return G.distances(relations(t), entities(t).where("id = 'region:0'"))
 
 
 @query(f"WITH RECURSIVE {_DIST} SELECT id, CAST(depth AS INTEGER) AS depth FROM ds")
@@ -105,7 +127,8 @@ def hierarchy_closure(t):
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT c.src, c.dst, 'inferred' AS type, 0.8::DOUBLE AS weight FROM (SELECT DISTINCT src, dst FROM cl WHERE src <> dst) c WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.src = c.src AND hi.dst = c.dst)")
 def hierarchy_closure_new(t):
     up = G.ancestors(relations(t), ("part_of", "located_in")).select("src", "dst")
-    new = up.join(_places(t).select("src", "dst"), ["src", "dst"], "left_anti")
+    hierarchy = relations(t).where(F.col("type").isin("part_of", "located_in"))
+    new = up.join(hierarchy.select("src", "dst"), ["src", "dst"], "left_anti")
     return new.select("src", "dst", F.lit("inferred").alias("type"), F.lit(0.8).alias("weight"))
 
 
@@ -126,16 +149,24 @@ def common_interests(t):
     return G.common_interests(relations(t))
 
 
-#: Paths customer - nation - region as weights.
-_WEIGHTS = "pw AS (SELECT 'customer:' || c_custkey AS id, 0.8::DOUBLE AS a, 0.9::DOUBLE AS b FROM customer)"
+_WEIGHTS = "pw AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_quantity / 50 AS a, 1 - l_discount AS b, 1 - l_tax AS c FROM lineitem)"
 
 
-@query(f"WITH {_WEIGHTS} SELECT id, round(a * b * 0.9, 6) AS product, round(least(a, b) * 0.9, 6) AS minimum, round((a + b) / 2 * 0.9, 6) AS average FROM pw")
+@query(f"WITH {_WEIGHTS} SELECT id, round(a * b * c * 0.9 * 0.9, 6) AS product, round(least(least(a, b) * 0.9, c) * 0.9, 6) AS minimum, round((a + b + c) / 3 * 0.9, 6) AS average FROM pw")
 def path_confidence(t):
-    rows = t.customer.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"), F.array(F.lit(0.8), F.lit(0.9)).alias("w"))
+    """Three weights of every line item as a path."""
+    rows = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.array(F.col("l_quantity") / 50, 1 - F.col("l_discount"), 1 - F.col("l_tax")).alias("w"))
     return rows.select("id", *(F.round(v, 6).alias(k) for k, v in G.path_confidence("w").items()))
 
 
+@query(f"WITH {_GRAPH} SELECT DISTINCT a.src, a.dst, 'not_located_in' AS type, a.weight * 0.5 AS weight FROM (SELECT * FROM re UNION ALL SELECT dst, src, type, weight FROM re WHERE src LIKE 'supplier:%' AND type = 'located_in') a JOIN (SELECT src, dst FROM re WHERE src LIKE 'supplier:%' AND type = 'located_in') b ON (a.src = b.src AND a.dst = b.dst) OR (a.src = b.dst AND a.dst = b.src) WHERE a.type = 'located_in'")
+def infer_one_way(t):
+    """The anti-symmetric rule, where suppliers' places are told both ways."""
+    rel = relations(t)
+    back = rel.where("type = 'located_in' and src like 'supplier:%'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "weight")
+    return G.one_way(rel.union(back), ("located_in",)).distinct()
+
+
 @query(f"""WITH {_GRAPH}, st AS (SELECT a.src AS src, b.dst AS dst, a.weight * b.weight AS w FROM re a JOIN re b ON a.dst = b.src WHERE a.type = 'located_in' AND b.type = 'part_of')
 SELECT s.label AS source, d.label AS target, round(w, 6) AS confidence FROM st JOIN en s ON s.id = st.src JOIN en d ON d.id = st.dst WHERE w >= 0.1""")
 def reason_pairs(t):
@@ -167,11 +198,42 @@ def score_triples(t):
     return _triples(t).select("head", "tail", F.round(-F.col("d"), 6).alias("score"))
 
 
-@query(f"WITH {_TRIPLES}, rk AS (SELECT CAST(floor(d * 10) AS BIGINT) + 1 AS rank FROM tr) SELECT round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits, round(avg(rank), 6) AS mean_rank FROM rk")
+_LINKS = """re AS (SELECT label, min_by(embedding, vec_id) AS r FROM embeddings GROUP BY label),
+aq AS (SELECT h.vec_id AS query_id, CAST(h.embedding AS DOUBLE[]) AS h, CAST(r.r AS DOUBLE[]) AS r FROM embeddings h JOIN re r USING (label) WHERE h.vec_id % 50 = 0),
+di AS (SELECT query_id, e.vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(h, r, CAST(e.embedding AS DOUBLE[])), lambda p: (p[1] + p[2] - p[3]) * (p[1] + p[2] - p[3])))), 9) AS d FROM aq, embeddings e)"""
+
+
+def _links(t):
+    """Vectors whose number is divisible by 50 as heads, the first vector of their label as relation, the next vector as true tail."""
+    r = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("relation"))
+    tail = t.embeddings.select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("truth"))
+    rows = t.embeddings.where("vec_id % 50 = 0").join(r, "label").select(F.col("vec_id").alias("query_id"), V.double("embedding").alias("known"), V.double("relation").alias("relation"))
+    return rows.join(tail.withColumn("truth", V.double("truth")), "query_id", "left")
+
+
+def _vectors(t):
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {_LINKS}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM di) SELECT query_id, id, round(-d, 6) AS score, rank FROM rk WHERE rank <= 10")
+def predict_tails(t):
+    """The ten likeliest tails among all vectors."""
+    return G.predict(_links(t), _vectors(t)).withColumn("score", F.round("score", 6))
+
+
+_HEADS = _LINKS.replace("(p[1] + p[2] - p[3]) * (p[1] + p[2] - p[3])", "(p[1] - p[2] - p[3]) * (p[1] - p[2] - p[3])")
+
+
+@query(f"WITH {_HEADS}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM di) SELECT query_id, id, round(-d, 6) AS score, rank FROM rk WHERE rank <= 10")
+def predict_heads(t):
+    """The ten likeliest heads among all vectors, the known ones taken as tails."""
+    return G.predict(_links(t), _vectors(t), tails=False).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_LINKS}, tr AS (SELECT query_id, d AS far FROM di WHERE id = query_id + 1), rk AS (SELECT query_id, count(*) FILTER (d < far) + 1 AS rank FROM di JOIN tr USING (query_id) GROUP BY query_id) SELECT round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hits, round(avg(rank), 6) AS mean_rank FROM rk")
 def link_metrics(t):
-    """Ranks by tenths of the triples' distance."""
-    ranks = _triples(t).select((F.floor(F.col("d") * 10) + 1).alias("rank"))
-    m = G.link_metrics(ranks)
+    """Ranks of the true tails among all vectors."""
+    m = G.link_metrics(G.link_ranks(_links(t).where("truth is not null"), _vectors(t)))
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
 
 
@@ -182,25 +244,27 @@ _MATCHES = " UNION ALL ".join(
 
 @query(f"SELECT DISTINCT doc_id, src, dst, type, 0.8::DOUBLE AS weight FROM ({_MATCHES})")
 def extract_relations(t):
-    return G.extract_relations(t.documents)
+    return G.extract_relations(t.texts("documents"))
+
+
+@query(f"WITH x AS (SELECT DISTINCT doc_id, src, dst FROM ({_MATCHES})), e AS (SELECT doc_id, src AS id FROM x UNION SELECT doc_id, dst FROM x) SELECT id, count(*) AS n FROM e GROUP BY id")
+def pattern_entities(t):
+    return G.pattern_entities(G.extract_relations(t.texts("documents")))
 
 
 @query("""WITH w AS (SELECT list_filter(string_split_regex(regexp_replace(text, '[^A-Za-z\\s]', '', 'g'), '\\s+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT unnest(list_zip(ws[1:len(ws) - 1], ws[2:])) AS p FROM w WHERE len(ws) > 1), h AS (SELECT p[1] AS a, p[2] AS b FROM p)
 SELECT lower(a) AS src, lower(b) AS dst, 'related_to' AS type, 0.5::DOUBLE AS weight, count(*) AS n FROM h WHERE regexp_matches(a, '^[A-Z]') AND regexp_matches(b, '^[A-Z]') AND lower(a) <> lower(b) GROUP BY 1, 2""")
 def adjacent_cap_relations(t):
-    return G.adjacent_capitalised(t.documents)
+    return G.adjacent_capitalised(t.texts("documents"))
 
 
 @query()
 def extract_entities(t):
-    return G.extract_entities(t.documents)
+    return G.extract_entities(t.texts("documents"))
 
 
 @query()
 def transe_train(t):
-    """Vectors of the places' graph; triples are collected, since training is one fold over all of them."""
-    triples = [(r["src"], r["type"], r["dst"]) for r in _places(t).select("src", "type", "dst").collect()]
-    model = G.TransE.train(triples, dim=16, epochs=20)
-    rows = [(n, [float(x) for x in v]) for n, v in zip(model.entities, model.e, strict=True)]
-    return t.spark.createDataFrame(rows, "id string, vector array<double>")
+    """Vectors of all entities and relation types of the whole graph."""
+    return G.transe(relations(t))

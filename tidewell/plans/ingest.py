@@ -19,18 +19,6 @@ def fn_normalize_ws(t):
     return t.documents.select("doc_id", X.normalize_ws("text").alias("content"))
 
 
-@query("SELECT 'customer:row' || c_custkey AS id, concat_ws(' | ', c_name, c_mktsegment) AS content, CAST(c_nationkey AS VARCHAR) AS meta_nation, CAST(c_custkey AS VARCHAR) AS meta_key FROM customer")
-def load_csv_row_docs(t):
-    key = F.col("c_custkey").cast("string")
-    return t.customer.select(F.concat(F.lit("customer:row"), key).alias("id"), F.concat_ws(" | ", "c_name", "c_mktsegment").alias("content"), F.col("c_nationkey").cast("string").alias("meta_nation"), key.alias("meta_key"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS content, CAST(json_extract_string(props, '$.k') AS BIGINT) AS number FROM events")
-def json_props_docs(t):
-    k = F.get_json_object("props", "$.k")
-    return t.events.select("event_id", k.alias("content"), k.try_cast("bigint").alias("number"))
-
-
 @query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
 def html_title(t):
     return t.pages.select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
@@ -131,13 +119,14 @@ def detect_script_language(t):
     return t.documents.select("doc_id", X.script_language("text").alias("language"))
 
 
-@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parents FROM documents),
-a AS (SELECT doc_id, parents, unnest(range(len(parents))) AS child_index, unnest(parents) AS content FROM p),
+@query(f"""WITH p AS (SELECT doc_id, {_SENTENCES.format(c="text")} AS children, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parents FROM documents),
+a AS (SELECT doc_id, parents, unnest(range(len(children))) AS child_index, unnest(children) AS content FROM p),
 b AS (SELECT doc_id, child_index, trim(substr(content, 1, 64)) AS anchor, trim(substr(content, 1, 16)) AS short, parents FROM a)
 SELECT doc_id, CAST(child_index AS BIGINT) AS child_index, CAST(coalesce(nullif(list_position(list_transform(parents, lambda x: contains(x, anchor)), true), 0), nullif(list_position(list_transform(parents, lambda x: contains(x, short)), true), 0)) - 1 AS BIGINT) AS parent_index FROM b""")
 def parent_child(t):
-    parts = chunking.split_parts(t.documents, "\n")
-    return chunking.parents_of(parts, parts)
+    """Sentences as children of lines."""
+    children = t.documents.select("doc_id", F.posexplode(X.sentences("text")).alias("chunk_index", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    return chunking.parents_of(children, chunking.split_parts(t.documents, "\n"))
 
 
 _F = filters
@@ -163,10 +152,10 @@ def filter_date_range(t):
     return t.orders.where(_F.DateRange("o_orderdate", "1995-01-01", "1996-12-31").column()).select("o_orderkey")
 
 
-_ALL = [filters.TermIn("p_brand", ("Brand#12", "Brand#23", "Brand#34")), None, filters.Range("p_size", 5, 40), filters.Range("p_retailprice", 1000.0)]
+_ALL = [filters.TermIn("p_brand", ("Brand#12", "Brand#23", "Brand#34")), None, filters.Range("p_size", 5, 40), filters.Range("p_retailprice", 930.0)]
 
 
-@query("SELECT p_partkey FROM part WHERE p_brand IN ('Brand#12', 'Brand#23', 'Brand#34') AND p_size BETWEEN 5 AND 40 AND p_retailprice >= 1000")
+@query("SELECT p_partkey FROM part WHERE p_brand IN ('Brand#12', 'Brand#23', 'Brand#34') AND p_size BETWEEN 5 AND 40 AND p_retailprice >= 930")
 def filter_all(t):
     return t.part.where(filters.all_of(_ALL)).select("p_partkey")
 

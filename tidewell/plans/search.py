@@ -155,19 +155,19 @@ kw AS (SELECT query_id, doc_id, sum(qn * ln((n_docs + 1)::DOUBLE / (df + 1) + 1)
 
 @query(f"WITH {_INDEX} SELECT doc_id, dl AS n_terms FROM dl")
 def tokenize_counts(t):
-    return keyword.index(t.documents).select("doc_id", F.col("dl").alias("n_terms"))
+    return keyword.index(t.texts("documents")).select("doc_id", F.col("dl").alias("n_terms"))
 
 
 @query(f"WITH {_INDEX} SELECT (SELECT count(*) FROM df) AS n_terms, n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM po) AS n_postings FROM st")
 def bm25_index_stats(t):
-    ix = keyword.index(t.documents)
+    ix = keyword.index(t.texts("documents"))
     counts = ix.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_postings"))
     return counts.crossJoin(keyword.corpus_statistics(ix)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(f"WITH {_INDEX} SELECT term, df FROM df")
 def term_df(t):
-    return keyword.index(t.documents).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return keyword.index(t.texts("documents")).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def queries_of(t):
@@ -175,13 +175,13 @@ def queries_of(t):
 
 
 def keyword_scores(t):
-    return keyword.bm25(queries_of(t), t.documents)
+    return keyword.bm25(queries_of(t), t.texts("documents"))
 
 
-def vector_scores(t, k: int | None = 10):
-    """Cosines of the benchmark items' vectors (those of the same number) with the documents' vectors."""
+def vector_scores(t, k: int = 10, least: float = 0.0):
+    """The k best cosines, from `least`, of the benchmark items' vectors (those of the same number) with the documents' vectors."""
     q = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    rows = search.batch_top_k(q, t.embeddings, k or t.embeddings.count(), same=True, min_score=0.0 if k else -2.0)
+    rows = search.batch_top_k(q, t.embeddings, k, same=True, min_score=least)
     return rows.select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
@@ -233,8 +233,21 @@ def hybrid_full_outer(t):
 
 @query(f"WITH {KW_SQL}, {VEC_SQL}, kt AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM kw) WHERE r <= 10), {_HYBRID.format(v='va', k='kt')} {_best_sql('hp')}")
 def hybrid_search_allvec(t):
-    top = search.top_k_by(keyword_scores(t).withColumn("score", F.round("score", 9)), ["query_id"], 10, tie="doc_id")
-    return best(keyword.hybrid(vector_scores(t, None), top, 0.5))
+    """The ten best by keywords get their vectors' scores; of the others, only the best by vector can be among the final ten."""
+    top = search.top_k_by(keyword_scores(t).withColumn("score", F.round("score", 9)), ["query_id"], 10, tie="doc_id").select("query_id", "doc_id", "score")
+    e = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("own"))
+    asked = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("ask"))
+    theirs = top.join(e, "doc_id").join(asked, "query_id").select("query_id", "doc_id", F.round(V.cosine("own", "ask"), 9).alias("score"))
+    near = vector_scores(t, 20, -2.0).select("query_id", "doc_id", "score")
+    return best(keyword.hybrid(near.union(theirs).distinct(), top, 0.5))
+
+
+@query(f"WITH ix0 AS (SELECT doc_id, {TERMS.replace('COL', 'text')} AS terms FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id FROM labels WHERE quality = 0), n AS (SELECT doc_id, {TERMS.replace('COL', 'lang')} AS terms FROM documents WHERE doc_id % 10 = 0 AND lang IS NOT NULL), f AS (SELECT * FROM ix0 WHERE doc_id NOT IN (SELECT doc_id FROM g) AND doc_id % 10 <> 0 UNION ALL SELECT * FROM n) SELECT doc_id, CAST(len(terms) AS BIGINT) AS n_terms FROM f")
+def index_update(t):
+    """The index without documents of bad quality; every tenth document is added again with its language as text."""
+    ix = keyword.remove(keyword.index(t.texts("documents")), t.labels.where("quality = 0"))
+    new = t.documents.where("doc_id % 10 = 0").select("doc_id", F.col("lang").alias("text"))
+    return keyword.add(ix, new).select("doc_id", F.col("dl").alias("n_terms"))
 
 
 @query()
