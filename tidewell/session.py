@@ -65,8 +65,14 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+#: Rows of an Arrow batch between the JVM and Python. Texts may be long, and both sides hold whole batches.
+BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a scale-factor folder."""
+    """One of the Parquet tables of a scale-factor folder. Where the session has Spark's own batch size, it gets BATCH_ROWS."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
