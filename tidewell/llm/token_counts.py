@@ -4,7 +4,9 @@ Which strings of the vocabulary encode alone as their own single token is proved
 once, by merging each of them. A pre-token of that set counts as one without any
 merging; all others are merged. No pre-token holds white space after another
 character, so a text falls into chunks of white space and what follows it, each
-with pre-tokens of its own; a worker remembers the counts of the chunks it met.
+with pre-tokens of its own. Most chunks are a blank and a word: texts are split
+at blanks, and of the pieces of many texts only the distinct ones are counted; a
+worker remembers the counts of those it met.
 """
 
 from __future__ import annotations
@@ -14,8 +16,11 @@ import hashlib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +31,17 @@ from tidewell.llm.words import held
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens of the byte-level vocabularies: contractions, words, numbers, other signs, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Chunks, and merged pre-tokens, that a worker remembers in the running and in the last generation, and how long they may be.
-_REMEMBERED, _SHORT = 200_000, 48
+#: Chunks, and merged pre-tokens, that a worker remembers before it forgets them all, and how long they may be.
+_REMEMBERED, _SHORT = 600_000, 48
 #: White space as PATTERN has it: the four separators are white space to `re` alone.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _CHUNK, _RARE_CHUNK = re.compile(r"\s*\S+"), re.compile(rf"[^\S{_SEPARATORS}]*[\S{_SEPARATORS}]+")
 _WIDE, _LOW = 40, (1 << 40) - 1
+#: A blank between other white space (or at an end of the text): there, chunks aren't what lies between two blanks.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_AMID = rf"(^|{_WHITE}) ({_WHITE}|$)"
+#: Characters of texts that are split together.
+_TOGETHER = 2_000_000
 #: Beyond this many bytes, a pre-token is merged by the heap instead of by repeated scans.
 _LONG = 64
 
@@ -108,86 +118,179 @@ def proved(path: str) -> frozenset[str]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Ranks of the byte strings, and the proved strings; `name` tells vocabularies apart."""
+    """Ranks of the byte strings, the proved strings, and the merges as a hash table; `name` tells vocabularies apart."""
 
     name: str
     rank: dict[bytes, int]
     whole: frozenset[str]
+    keys: np.ndarray
+    values: np.ndarray
+
+
+_FREE, _NONE = np.uint64(2**64 - 1), np.int64(2**62)
+
+
+def _spot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def merge_table(rank: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, values) of open addressing: each pair of tokens that makes a token of the vocabulary, and that token's rank."""
+    pairs = {rank[t[:i]] << 32 | rank[t[i:]]: r for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
+    bits = max(4, (4 * len(pairs)).bit_length())
+    keys, values = np.full(1 << bits, _FREE), np.zeros(1 << bits, np.int64)
+    todo, what = np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+    at = _spot(todo, bits)
+    while len(todo):
+        free = np.flatnonzero(keys[at] == _FREE)
+        spots, first = np.unique(at[free], return_index=True)
+        won = free[first]
+        keys[spots], values[spots] = todo[won], what[won]
+        left = np.ones(len(todo), bool)
+        left[won] = False
+        todo, what, at = todo[left], what[left], (at[left] + 1) & ((1 << bits) - 1)
+    return keys, values
 
 
 @lru_cache(2)
 def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     """The vocabulary of a file; its content names it."""
     with open(path, "rb") as f:
-        return Vocabulary(hashlib.md5(f.read()).hexdigest(), ranks(path), proved(path))
-
-
-def merged_size(piece: bytes, rank: dict[bytes, int]) -> int:
-    """The number of tokens that `merge` gives; the ranks of pairs are kept, so that a merge looks up its neighbours alone."""
-    if len(piece) > _LONG:
-        return len(_merge_long(piece, rank))
-    none = float("inf")
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [rank.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-    while pairs and (best := min(pairs)) < none:
-        i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = rank.get(parts[i] + parts[i + 1], none)
-        if i:
-            pairs[i - 1] = rank.get(parts[i - 1] + parts[i], none)
-    return len(parts)
-
-
-class _Remembered(dict):
-    """Values by string, made where they are missing; a full generation becomes the last one, and that one is forgotten."""
-
-    def __init__(self, make):
-        self.make, self.last = make, {}
-
-    def __missing__(self, key: str) -> int:
-        value = self.last.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= _SHORT:
-            if len(self) >= _REMEMBERED:
-                self.last = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+        return Vocabulary(hashlib.md5(f.read()).hexdigest(), ranks(path), proved(path), *merge_table(ranks(path)))
+
+
+def _pair_ranks(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Rank of what each pair of tokens makes, _NONE where that isn't in the vocabulary or a token is -1."""
+    out = np.full(left.shape, _NONE)
+    some = np.flatnonzero((left >= 0) & (right >= 0))
+    key = left[some].astype(np.uint64) << np.uint64(32) | right[some].astype(np.uint64)
+    bits = len(v.keys).bit_length() - 1
+    at = _spot(key, bits)
+    while len(some):
+        there = v.keys[at]
+        hit = there == key
+        out[some[hit]] = v.values[at[hit]]
+        on = ~hit & (there != _FREE)
+        some, key, at = some[on], key[on], (at[on] + 1) & (len(v.keys) - 1)
+    return out
+
+
+def merged_sizes(pieces: list[bytes], v: Vocabulary) -> np.ndarray:
+    """The number of tokens that `merge` gives for each of many pieces: in every round each piece has its best pair merged."""
+    out = np.zeros(len(pieces), np.int64)
+    size = np.array([len(p) for p in pieces])
+    byte = np.array([v.rank.get(bytes([k]), -1) for k in range(256)])
+    for low, high in ((0, 8), (8, 16), (16, 32), (32, _LONG)):
+        rows = np.flatnonzero((size > low) & (size <= high))
+        if not len(rows):
+            continue
+        raw = np.frombuffer(b"".join(pieces[i].ljust(high, b"\0") for i in rows.tolist()), np.uint8).reshape(len(rows), high)
+        tokens = np.where(np.arange(high) < size[rows][:, None], byte[raw], -1)
+        best = _pair_ranks(v, tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(len(rows), high - 1)
+        count = size[rows].copy()
+        live = np.arange(len(rows))
+        while len(live):
+            at = best[live].argmin(axis=1)
+            rank = best[live, at]
+            some = rank < _NONE
+            live, at, rank = live[some], at[some], rank[some]
+            if not len(live):
+                break
+            # The pair's place takes the merged token; all that stands after it moves one to the left.
+            t, b = tokens[live], best[live]
+            after = np.arange(high)[None, :] > at[:, None]
+            t[:, :-1] = np.where(after[:, :-1], t[:, 1:], t[:, :-1])
+            t[:, -1] = -1
+            t[np.arange(len(live)), at] = rank
+            b[:, :-1] = np.where(after[:, : high - 2], b[:, 1:], b[:, :-1])
+            b[:, -1] = _NONE
+            n = np.arange(len(live))
+            follows = np.minimum(at + 1, high - 1)
+            b[n, np.minimum(at, high - 2)] = _pair_ranks(v, rank, np.where(at + 1 < high, t[n, follows], -1))
+            some = at > 0
+            b[n[some], at[some] - 1] = _pair_ranks(v, t[n[some], at[some] - 1], rank[some])
+            tokens[live], best[live] = t, b
+            count[live] -= 1
+        out[rows] = count
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = len(_merge_long(pieces[i], v.rank))
+    return out
 
 
 class Counting:
     """Counts tokens of texts by a vocabulary."""
 
     def __init__(self, v: Vocabulary):
-        pattern = regex.compile(PATTERN)
-        merged = _Remembered(lambda piece: merged_size(piece.encode("utf-8", "surrogatepass"), v.rank))
-
-        def chunk(text: str) -> int:
+        self.v, self.pattern = v, regex.compile(PATTERN)
+        self.chunks: dict[str, int] = {}
+        self.merged: dict[str, int] = {}
+
+    def _pieces(self, chunk: str) -> list[str]:
+        # A blank, letters, and perhaps one other sign: what the pattern gives is plain.
+        if chunk[0] == " ":
+            if chunk[1:].isalpha():
+                return [chunk]
+            if chunk[-1] in ".,;:!?" and chunk[1:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
+    def packed(self, chunks: list[str]) -> list[int]:
+        """(tokens, pre-tokens, whole ones) of each chunk in one number; what is short is remembered."""
+        known = self.chunks
+        out = [known.get(c) for c in chunks]
+        new = [i for i, x in enumerate(out) if x is None]
+        if not new:
+            return out
+        pieces = [self._pieces(chunks[i]) for i in new]
+        whole, merged = self.v.whole, self.merged
+        need = [p for p in {p for ps in pieces for p in ps} if p not in whole and p not in merged]
+        sizes = dict(zip(need, merged_sizes([p.encode("utf-8", "surrogatepass") for p in need], self.v).tolist(), strict=True))
+        for i, ps in zip(new, pieces, strict=True):
             tokens = direct = 0
-            pieces = pattern.findall(text)
-            for piece in pieces:
-                if piece in v.whole:
+            for p in ps:
+                if p in whole:
                     direct += 1
                 else:
-                    tokens += merged[piece]
-            return tokens + direct | len(pieces) << _WIDE | direct << 2 * _WIDE
-
-        self.chunks = _Remembered(chunk)
+                    n = sizes.get(p)
+                    tokens += merged[p] if n is None else n
+            out[i] = tokens + direct | len(ps) << _WIDE | direct << 2 * _WIDE
+        for held, add in ((merged, sizes.items()), (known, ((chunks[i], out[i]) for i in new))):
+            if len(held) >= _REMEMBERED:
+                held.clear()
+            held.update((k, x) for k, x in add if len(k) <= _SHORT)
+        return out
 
     def count(self, text: str | None) -> tuple[int, int, int]:
         """(tokens, pre-tokens, pre-tokens counted by the shortcut) of a text."""
         if not text:
             return 0, 0, 0
-        split = _RARE_CHUNK if any(c in text for c in _SEPARATORS) else _CHUNK
-        found = split.findall(text)
+        found = (_RARE_CHUNK if any(c in text for c in _SEPARATORS) else _CHUNK).findall(text)
         if size := len(text) - sum(map(len, found)):
             found.append(text[-size:])
-        total = sum(map(self.chunks.__getitem__, found))
+        total = sum(self.packed(found))
         return total & _LOW, total >> _WIDE & _LOW, total >> 2 * _WIDE
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The counts of many texts, a row of three each."""
+        texts = pc.fill_null(texts, "")
+        rare = np.asarray(pc.match_substring_regex(texts, _AMID), bool)
+        pieces = pc.split_pattern(texts, " ")
+        at = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
+        distinct = pieces.flatten().dictionary_encode()
+        packed = self.packed([" " + x for x in distinct.dictionary.to_pylist()])
+        own = np.array([[x & _LOW for x in packed], [x >> _WIDE & _LOW for x in packed], [x >> 2 * _WIDE for x in packed]], np.int64)
+        each = own[:, np.asarray(distinct.indices)]
+        total = np.concatenate((np.zeros((3, 1), np.int64), np.cumsum(each, axis=1)), axis=1)
+        # Nothing stands before a text's first piece.
+        out = (total[:, at[1:]] - total[:, at[:-1]] - each[:, at[:-1]]).T
+        first = pieces.flatten().take(pa.array(at[:-1])).to_pylist()
+        for i, x in enumerate(self.packed([x or " " for x in first])):
+            if rare[i]:
+                out[i] = self.count(texts[i].as_py())
+            elif first[i]:
+                out[i] += (x & _LOW, x >> _WIDE & _LOW, x >> 2 * _WIDE)
+        return out
+
 
 def _counts(spark: SparkSession, path: str):
     """The counts of a column of texts, by the vocabulary that the driver read and sends out. Texts are read in slices."""
@@ -196,9 +299,12 @@ def _counts(spark: SparkSession, path: str):
     @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_pretokens", "n_whole")]))
     def counted(text: pa.Array) -> pa.Array:
         v = sent.value
-        count = held(("tokens", v.name), lambda: Counting(v)).count
-        rows = [count(t) for i in range(0, len(text), 256) for t in text.slice(i, 256).to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["n_tokens", "n_pretokens", "n_whole"])
+        counting = held(("tokens", v.name), lambda: Counting(v))
+        size = np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // _TOGETHER)) + 1
+        runs = [counting.counts(text.slice(a, b - a)) for a, b in pairwise([0, *cut.tolist(), len(text)]) if b > a]
+        rows = np.concatenate(runs) if runs else np.zeros((0, 3), np.int64)
+        return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["n_tokens", "n_pretokens", "n_whole"])
 
     return counted
 
