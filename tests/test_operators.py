@@ -105,7 +105,7 @@ def exact(vecs, k):
     return {i: set(ids[np.argsort(-v)[:k]]) for i, v in zip(ids, s, strict=True)}
 
 
-def recall(df, want):
+def share_found(df, want):
     got = {}
     for r in df.collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
@@ -114,9 +114,19 @@ def recall(df, want):
 
 def test_approximate_search_recall(spark, vecs):
     want = exact(vecs, 10)
-    assert recall(search.ivf_top_k(vecs, vecs, 10), want) >= 0.9
+    assert share_found(search.ivf_top_k(vecs, vecs, 10), want) >= 0.9
     model = search.Product(search.training_sample(vecs, 20_000))
-    assert recall(search.pq_search(vecs, vecs, model, 10), want) >= 0.9
+    assert share_found(search.pq_search(vecs, vecs, model, 10), want) >= 0.9
+
+
+def test_cells_of_clustered_vectors(spark):
+    """Eight clusters of sixty points: a few cells hold nearly all neighbours."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(8, 16)), 60, axis=0) + rng.normal(0, 0.15, (480, 16))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(480), "embedding": list(x)}))
+    assert share_found(search.ivf_top_k(df, df, 10), exact(df, 10)) >= 0.9
+    assert share_found(search.ivf_top_k(df, df, 10, probes=6), exact(df, 10)) >= 0.8
+    assert search.ivf_top_k(df.limit(0), df, 10).count() == 0
 
 
 @pytest.mark.parametrize("n", [20_000, 50_000])
@@ -129,7 +139,7 @@ def test_product_search_is_exact_at_any_size(spark, n):
     s[np.arange(50), np.arange(50)] = -2
     want = {i: set(np.argsort(-v)[:10]) for i, v in enumerate(s)}
     model = search.Product(search.training_sample(df, 1_000))
-    assert recall(search.pq_search(df.where("vec_id < 50"), df, model, 10), want) == 1
+    assert share_found(search.pq_search(df.where("vec_id < 50"), df, model, 10), want) == 1
 
 
 def test_batch_top_k_edges(spark):

@@ -223,9 +223,9 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 25, seed: int = 42) -> np.ndarray
     """k-means++ and Lloyd's updates on the rows of x; at most len(x) centres."""
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
-    centres = x[[rng.integers(len(x))]]
+    centres, d = x[[rng.integers(len(x))]], np.full(len(x), np.inf)
     while len(centres) < k:
-        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(axis=1))
         centres = np.concatenate((centres, x[[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]]))
     for _ in range(rounds):
         near = ((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)).argmin(axis=1)
@@ -353,34 +353,62 @@ def pq_search(queries: DataFrame, corpus: DataFrame, model: Product, k: int, ove
     return top_k_by(met, ["query_id"], k)
 
 
-def ivf_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 12, sample: int = 20_000, vec: str = "embedding") -> DataFrame:
+#: Queries whose exact neighbours decide how many cells are searched.
+TRIALS = 256
+
+
+def ivf_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int | None = None, reach: float = 0.95, sample: int = 20_000, vec: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank), approximately: a query meets the vectors of its `probes` nearest of `cells` cells.
 
-    Cells are k-means centres of a bounded sample. Queries and vectors meet by a
-    join on the cell, block by block.
+    Every vector is indexed; the cells are k-means centres of a bounded sample
+    of `sample` vectors, by default as many as the root of the number of
+    vectors. Where `probes` isn't given, the exact neighbours of TRIALS queries
+    decide: the fewest nearest cells that hold the share `reach` of them. Where
+    vectors lie in clusters these are few; where they don't, they are most.
+    Queries and vectors meet by a join on the cell, in parts of CORPUS_BLOCK
+    vectors at most.
     """
+    cells = cells or max(1, min(sample // 8, round(corpus.count() ** 0.5)))
     centres = lloyd(training_sample(corpus, sample, vec=vec), cells)
     sent = corpus.sparkSession.sparkContext.broadcast(centres)
 
+    def order(v: np.ndarray) -> np.ndarray:
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return np.argsort(-2 * v @ sent.value.T + (sent.value**2).sum(axis=1), axis=1)
+
     def nearest(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
                 v = np.array(b.column(1).to_pylist(), float)
+                near = order(v)[:, :n]
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                d = -2 * v @ sent.value.T + (sent.value**2).sum(axis=1)
-                near = np.argsort(d, axis=1)[:, :n]
                 rows = np.repeat(np.arange(len(v)), near.shape[1])
                 yield pa.record_batch([b.column(0).take(pa.array(rows)), pa.array(near.ravel()), pa.array([x.tobytes() for x in v]).take(pa.array(rows))], names=["id", "cell", "v"])
 
         return run
 
-    def packed(df: DataFrame, n: int, side: str) -> DataFrame:
-        rows = df.where(F.size(vec) > 0).select(F.col("vec_id").cast("long"), F.col(vec).cast("array<double>")).mapInArrow(nearest(n), "id long, cell long, v binary")
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)))
+    def placed(df: DataFrame, n: int) -> DataFrame:
+        return df.where(F.size(vec) > 0).select(F.col("vec_id").cast("long"), F.col(vec).cast("array<double>")).mapInArrow(nearest(n), "id long, cell long, v binary")
+
+    held = written(placed(corpus, 1), "cells")
+    if probes is None:
+        trial = written(queries.where(F.size(vec) > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS), "trials")
+        truth = batch_top_k(trial, corpus, k, vec=vec, min_score=-2.0).join(held.select(F.col("id").alias("vec_id"), "cell"), "vec_id").select("query_id", "cell").toArrow()
+        asked = trial.select("vec_id", F.col(vec).cast("array<double>").alias("v")).toArrow()
+        at = {q: i for i, q in enumerate(asked["vec_id"].to_pylist())}
+        place = np.argsort(order(np.array(asked["v"].to_pylist(), float).reshape(len(asked), -1)), axis=1) if len(asked) else np.zeros((0, 1))
+        need = np.sort([place[at[q], c] + 1 for q, c in zip(truth["query_id"].to_pylist(), truth["cell"].to_pylist(), strict=True)])
+        probes = int(need[min(len(need) - 1, int(np.ceil(reach * len(need))) - 1)]) if len(need) else 1
+    sizes = held.groupBy("cell").agg(F.ceil(F.count("*") / CORPUS_BLOCK).alias("parts"))
+
+    def packed(rows: DataFrame, side: str) -> DataFrame:
         return rows.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias(side)).drop("part")
 
+    corpus_parts = packed(held.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "c")
+    query_parts = packed(placed(queries, probes).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // BLOCK))))), "q")
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -395,5 +423,5 @@ def ivf_top_k(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, pr
                 ok = np.isfinite(s)
                 yield pa.record_batch([pa.array(qi[a][ok]), pa.array(ci[top.ravel()][ok]), pa.array(s[ok])], schema=_PAIRS)
 
-    met = packed(queries, probes, "q").join(packed(corpus, 1, "c"), "cell").select("q", "c").mapInArrow(meet, _PAIRS_SQL)
+    met = query_parts.join(corpus_parts, "cell").select("q", "c").mapInArrow(meet, _PAIRS_SQL)
     return top_k_by(met, ["query_id"], k)

@@ -196,19 +196,31 @@ def _sized(t):
     return candidates(t).withColumn("tokens", X.token_estimate("text"))
 
 
-@query()
+def _packed_sql(ranked: str, budget: int) -> str:
+    """The tables sz and pk: rows in order of their rank, with what room is left after each."""
+    return f"""sz AS ({ranked}), pk AS (SELECT DISTINCT query_id, 0::BIGINT AS rank, {budget}::BIGINT AS room, NULL::BIGINT AS doc_id, NULL::BIGINT AS tokens, false AS kept FROM sz
+ UNION ALL SELECT s.query_id, s.rank, room - CASE WHEN s.tokens <= room THEN s.tokens ELSE 0 END, s.doc_id, s.tokens, s.tokens <= room FROM pk JOIN sz s ON s.query_id = pk.query_id AND s.rank = pk.rank + 1)"""
+
+
+_BY_SCORE = "SELECT query_id, doc_id, rank, CAST(strlen(text) // 4 AS BIGINT) AS tokens FROM cd"
+
+
+@query(f"WITH RECURSIVE {_CAND}, {_packed_sql(_BY_SCORE, 4096)} SELECT query_id, doc_id, rank, tokens, kept FROM pk WHERE rank > 0")
 def context_window(t):
     return context.pack_budget(_sized(t), 4096)
 
 
-@query()
+@query(f"WITH RECURSIVE {_CAND}, {_packed_sql(_BY_SCORE, 2048)} SELECT query_id, doc_id, rank, tokens, kept FROM pk WHERE rank > 0")
 def context_smart(t):
     rows = _sized(t)
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return context.pack_budget(rows.withColumn("rank", F.row_number().over(order)), 2048)
 
 
-@query()
+_BY_SPARSE = "SELECT sr.query_id, sr.doc_id, rerank_rank AS rank, CAST(strlen(text) // 4 AS BIGINT) AS tokens, text FROM sr JOIN cd USING (query_id, doc_id)"
+
+
+@query(f"WITH RECURSIVE {_SPARSE}, {_packed_sql(_BY_SPARSE, 4096)}, ke AS (SELECT query_id, doc_id, sz.text, row_number() OVER (PARTITION BY query_id ORDER BY pk.rank) AS n FROM pk JOIN sz USING (query_id, doc_id) WHERE kept) SELECT query_id, string_agg('[Chunk ' || n || '] (ID: ' || doc_id || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context FROM ke GROUP BY query_id")
 def rag_context(t):
     """Candidates, re-ranked, packed into a budget, and rendered with their numbers."""
     cand = candidates(t)
@@ -255,7 +267,7 @@ def eval_compare(t):
     return evaluate.compare(old, new).select("metric", *(F.round(c, 6).alias(c) for c in ("old", "new", "delta")), "verdict")
 
 
-@query()
+@query(_RUN + " " + " UNION ALL ".join(f"SELECT '{c}' AS metric, round(avg({c}), 6) AS value FROM m" for c in ("precision", "recall", "mrr", "ndcg")))
 def eval_report(t):
     return evaluate.report(_metrics(t)).withColumn("value", F.round("value", 6))
 
