@@ -179,3 +179,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: in
         bad = contaminated(keyed.select(F.col("__tw_key").alias("doc_id"), "text"), b.select(F.col("i").alias("item_id"), F.col("t").alias("text")), broadcast_bytes)
         kept = keyed.join(bad.select(F.col("doc_id").alias("__tw_key")), "__tw_key", "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: Shared runs of MIN_WORDS words, put together where they overlap; the two sides' words are those of `words.WORD`.
+SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + {MIN_WORDS}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(greatest(0, len(ws) - {MIN_WORDS - 1}))) AS i FROM d)),
+bg AS (SELECT item_id, j, array_to_string(ws[j + 1 : j + {MIN_WORDS}], ' ') AS g FROM (SELECT item_id, ws, unnest(range(greatest(0, len(ws) - {MIN_WORDS - 1}))) AS j FROM b)),
+met AS (SELECT doc_id, item_id, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM dg JOIN bg USING (g))
+SELECT doc_id, item_id, min(i) AS doc_start, min(j) AS item_start, count(*) + {MIN_WORDS - 1} AS n_words FROM met GROUP BY doc_id, item_id, i - j, run
+"""

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op7_sharding": sharding.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op4_decontaminate": decontaminate.SQL, "op7_sharding": sharding.SQL}
