@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections import OrderedDict
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -139,3 +140,23 @@ def traceparent(header: str | Column) -> Column:
 def traces(spans):
     """(trace_id, n_spans, start, end, spans) of a table of spans (trace_id, span_id, parent_id, name, start, end)."""
     return spans.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("start", "span_id", "parent_id", "name", "end"))).alias("spans"))
+
+
+class Remembering:
+    """A callable's results by its argument: the `most` used last, each for `ttl` seconds; for one process."""
+
+    def __init__(self, call, most: int = 1024, ttl: float | None = None, clock=time.monotonic):
+        self.call, self.most, self.ttl, self.clock, self.held = call, most, ttl, clock, OrderedDict()
+        self.hits = self.misses = 0
+
+    def __call__(self, key):
+        now, found = self.clock(), self.held.pop(key, None)
+        if found is not None and (self.ttl is None or now - found[0] < self.ttl):
+            self.hits += 1
+        else:
+            self.misses += 1
+            found = (now, self.call(key))
+        self.held[key] = found
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)
+        return found[1]

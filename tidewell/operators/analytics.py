@@ -27,6 +27,16 @@ def last_n(log: DataFrame, n: int, time: str, tie: str) -> DataFrame:
     return log.orderBy(F.desc(time), F.desc(tie)).limit(n)
 
 
+def top_scores(log: DataFrame, query: str, score: str) -> DataFrame:
+    """(query, top): the highest score of each normalised query."""
+    return log.groupBy(F.lower(F.trim(F.col(query))).alias("query")).agg(F.max(score).alias("top"))
+
+
+def snapshot(rows: DataFrame, name: str, value: str, time: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, counter, gauge) of a table of increments and readings: the sum of all values, and the latest one."""
+    return rows.groupBy(*by).agg(F.sum(value).alias(f"{name}_total"), F.max_by(value, F.struct(time, value)).alias(f"{name}_last"))
+
+
 def histogram(rows: DataFrame, value: str, by: tuple[str, ...] = (), bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
     """(by, le, n) cumulative counts for each bound and +Inf, in one aggregation."""
     counts = [F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
@@ -42,11 +52,15 @@ def percentiles(rows: DataFrame, value: str, by: str, shares: tuple[float, ...]
     return rows.groupBy(by).agg(*out)
 
 
-def prometheus(counts: DataFrame, name: str, help_text: str) -> DataFrame:
-    """One row (line) for each line of the text exposition of a histogram (le, n)."""
+def prometheus(counts: DataFrame, name: str, help_text: str, total: DataFrame | None = None) -> DataFrame:
+    """One row (line) for each line of the text exposition of a histogram (le, n); `total` is one row (sum, count) that ends it."""
     lines = counts.select(F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.col("le").try_cast("double")).alias("at"), F.format_string(f'{name}_bucket{{le="%s"}} %d', "le", "n").alias("line"))
     head = counts.sparkSession.createDataFrame([(-2.0, f"# HELP {name} {help_text}"), (-1.0, f"# TYPE {name} histogram")], "at double, line string")
-    return head.union(lines).orderBy("at").select("line")
+    rows = head.union(lines)
+    if total is not None:
+        for at, what in ((1.0, "sum"), (2.0, "count")):
+            rows = rows.union(total.select(F.lit(float("nan")).alias("at"), F.concat(F.lit(f"{name}_{what} "), F.col(what).cast("string")).alias("line")))
+    return rows.orderBy("at", F.desc("line")).select("line")
 
 
 def latest(rows: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:

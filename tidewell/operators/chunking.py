@@ -101,6 +101,25 @@ def adaptive_tokens(text: str | Column, per_chunk: int = 6, low: int = 64, high:
     return F.least(F.greatest(F.floor(mean * per_chunk / 4), F.lit(low)), F.lit(high)).cast("long")
 
 
+_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
+
+
+def adaptive(text: str, overlap: int = 50, least: int = 50, separator: str = "\n") -> list[str]:
+    """`fixed` with the size of `adaptive_tokens` for this text, and no more overlap than an eighth of it."""
+    found = [s for x in _SENTENCE.findall(text) if (s := x.translate(_BLANKS).strip(" "))]
+    mean = sum(map(len, found)) // max(1, len(found))
+    tokens = min(max(mean * 6 // 4, 64), 512)
+    return fixed(text, tokens, min(overlap, tokens // 8), least, separator)
+
+
+_BLANKS = str.maketrans("\n\t\r", "   ")
+
+
+def by_sections(text: str, inner: Callable[[str], list], separator: str = "\n---\n") -> list[str]:
+    """The chunks that `inner` makes of each section of a document, so that none spans two."""
+    return [x[1] if isinstance(x, tuple) else x for part in text.split(separator) if part.strip() for x in inner(part.strip())]
+
+
 _END = re.compile(r"(?<=[.!?])(?=[ \n\r\t])")
 
 

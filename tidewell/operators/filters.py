@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -78,6 +79,19 @@ class DateRange:
         return out & t.isNotNull()
 
 
+@dataclass(frozen=True)
+class Year:
+    """The value's year compares with `year` by eq, ne, gt, gte, lt or lte; what isn't a time never does."""
+
+    key: str
+    year: int
+    how: str = "eq"
+
+    def column(self, get: Get = F.col) -> Column:
+        y = F.year(get(self.key).try_cast("timestamp"))
+        return F.coalesce(getattr(operator, {"gte": "ge", "lte": "le"}.get(self.how, self.how))(y, F.lit(self.year)), F.lit(False))
+
+
 def all_of(filters: list, get: Get = F.col) -> Column:
     """All filters (or columns) hold; None is skipped."""
     parts = [f if isinstance(f, Column) else f.column(get) for f in filters if f is not None]

@@ -77,6 +77,24 @@ def run(
     return rows
 
 
+def run_batch(spark, sources: dict[str, Callable[[], DataFrame]], state: DataFrame, rules: Column, done: Callable[[str, dict], None] | None = None, **how) -> DataFrame:
+    """(source, status, n, error): a run of each source in turn; one that fails is reported and doesn't stop the others.
+
+    `done` is told the counts by status after each source, as progress.
+    """
+    rows = []
+    for name, load in sources.items():
+        try:
+            counts = {r["status"]: r["n"] for r in run(load(), state, rules, **how).groupBy("status").agg(F.count("*").alias("n")).collect()}
+            rows += [(name, status, n, None) for status, n in sorted(counts.items())]
+        except Exception as e:  # any source's failure is a row of the result
+            counts = {"failed": 1}
+            rows.append((name, "failed", 1, f"{type(e).__name__}: {e}".split("\n")[0]))
+        if done:
+            done(name, counts)
+    return spark.createDataFrame(rows, "source string, status string, n long, error string")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """The latest row of each key by `version`; the new table wins ties."""
     both = old.withColumn("__tw_new", F.lit(0)).unionByName(new.withColumn("__tw_new", F.lit(1)))

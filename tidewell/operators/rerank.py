@@ -40,6 +40,13 @@ def _ascii_words(text: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
+def mark(candidates: DataFrame, relevant: DataFrame) -> DataFrame:
+    """`candidates` with `relevant`: whether `relevant` (doc_id, and query_id if it has one) holds the row; samples for experiments."""
+    keys = [c for c in ("query_id", "doc_id") if c in relevant.columns]
+    known = relevant.select(*keys).where(F.col("doc_id").isNotNull()).distinct().withColumn("__tw_hit", F.lit(True))
+    return candidates.join(known, keys, "left").select(*(F.col(f"`{c}`") for c in candidates.columns), F.coalesce("__tw_hit", F.lit(False)).alias("relevant"))
+
+
 def ltr_features(candidates: DataFrame) -> DataFrame:
     """`candidates` with coarse score, share of the query's distinct words in the text, and 1 / (1 + words)."""
     q, d = _ascii_words("query"), _ascii_words("text")

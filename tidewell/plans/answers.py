@@ -448,7 +448,24 @@ def error_rate(t):
 @query()
 def prometheus_text(t):
     counts = analytics.histogram(t.events, "value", (), _BOUNDS)
-    return analytics.prometheus(counts, "query_latency", "Latency of queries.")
+    total = t.events.agg(F.round(F.sum("value"), 2).alias("sum"), F.count("value").alias("count"))
+    return analytics.prometheus(counts, "query_latency", "Latency of queries.", total)
+
+
+@query("SELECT lower(trim(event_type)) AS query, max(value) AS top FROM events GROUP BY 1")
+def max_top_score(t):
+    return analytics.top_scores(t.events, "event_type", "value")
+
+
+@query("SELECT user_id, round(sum(value), 6) AS value_total, arg_max(value, {'t': ts, 'v': value}) AS value_last FROM events GROUP BY user_id")
+def metric_snapshot(t):
+    return analytics.snapshot(t.events, "value", "value", "ts", ("user_id",)).withColumn("value_total", F.round("value_total", 6))
+
+
+@query(f"WITH {_CAND} SELECT query_id, doc_id, rank, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS relevant FROM ca")
+def mark_relevant(t):
+    good = t.labels.where("quality = 1").select(F.col("doc_id"))
+    return rerank.mark(candidates(t).select("query_id", "doc_id", "rank"), good)
 
 
 _STATS = _SENTENCES.format(c="content")

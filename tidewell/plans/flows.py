@@ -74,6 +74,17 @@ def chunk_recursive(t):
     return chunking.chunked(t.texts("documents"), chunking.recursive)
 
 
+@query()
+def chunk_adaptive(t):
+    return chunking.chunked(t.texts("documents"), chunking.adaptive)
+
+
+@query()
+def chunk_document_aware(t):
+    """Lines as sections, and fixed chunks inside them."""
+    return chunking.chunked(t.texts("documents"), lambda text: chunking.by_sections(text, lambda part: chunking.fixed(part, least=1), "\n"))
+
+
 @query()
 def chunk_semantic(t):
     return chunking.chunked(t.texts("documents"), lambda text: chunking.semantic(text, lambda s: mock_vectors(s, 64)))

@@ -152,6 +152,11 @@ def filter_date_range(t):
     return t.orders.where(_F.DateRange("o_orderdate", "1995-01-01", "1996-12-31").column()).select("o_orderkey")
 
 
+@query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) > 1996 AND year(o_orderdate) <> 1998")
+def filter_year(t):
+    return t.orders.where(filters.all_of([filters.Year("o_orderdate", 1996, "gt"), filters.Year("o_orderdate", 1998, "ne")])).select("o_orderkey")
+
+
 _ALL = [filters.TermIn("p_brand", ("Brand#12", "Brand#23", "Brand#34")), None, filters.Range("p_size", 5, 40), filters.Range("p_retailprice", 930.0)]
 
 

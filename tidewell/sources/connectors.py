@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import subprocess
 import time
 import urllib.parse
@@ -9,10 +11,11 @@ import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a web answer that are read at most, and requests in a second.
 WEB_BYTES, WEB_RATE = 10 << 20, 4.0
-WEB_TYPES = ("text/html", "text/plain", "text/markdown", "application/json", "application/xhtml+xml")
+WEB_TYPES = ("text/html", "text/plain", "text/markdown", "application/json", "application/xhtml+xml", "application/xml", "text/xml")
 
 
 def sql_documents(
@@ -76,3 +79,57 @@ def clone(url: str, into: str, shallow: bool = True) -> str:
     """Clones a repository into a folder that all executors see, for the directory loader."""
     subprocess.run(["git", "clone", "--quiet", *(["--depth", "1"] if shallow else []), url, into], check=True)
     return into
+
+
+def bucket_documents(spark: SparkSession, bucket: str, prefix: str = "", scheme: str = "s3a", **how) -> DataFrame:
+    """The documents below a prefix of an object store, read by the executors through its file system; credentials are the session's."""
+    from tidewell.sources.files import load_directory
+
+    return load_directory(spark, f"{scheme}://{bucket}/{prefix.lstrip('/')}", **how)
+
+
+class HostedRepository(DataSource):
+    """`spark.read.format("hosted_repository")`: the files of a repository on a host with a GitHub-like API, fetched by the executors.
+
+    Options: `repo` (owner/name), `ref`, `base` (the API's address), `token`,
+    `extensions` (comma-separated; none takes all), `batch` (files of a
+    partition). The driver lists the tree once; a file that can't be decoded as
+    UTF-8 is left out.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "hosted_repository"
+
+    def schema(self) -> str:
+        return "path string, sha string, content string"
+
+    def reader(self, schema) -> "RepositoryReader":
+        return RepositoryReader(dict(self.options))
+
+
+class RepositoryReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.base = options.get("base", "https://api.github.com").rstrip("/")
+        self.repo, self.ref, self.token = options["repo"], options.get("ref", "HEAD"), options.get("token")
+        self.extensions = tuple("." + x.strip().lstrip(".") for x in options.get("extensions", "").split(",") if x.strip())
+        self.batch = int(options.get("batch", "50"))
+
+    def _get(self, path: str) -> dict:
+        request = urllib.request.Request(f"{self.base}/repos/{self.repo}/{path}", headers={"Accept": "application/json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {}))
+        with urllib.request.urlopen(request, timeout=30) as answer:  # noqa: S310
+            return json.load(answer)
+
+    def partitions(self) -> list[InputPartition]:
+        tree = self._get(f"git/trees/{urllib.parse.quote(self.ref, safe='')}?recursive=1")
+        if tree.get("truncated"):
+            raise ValueError("the host cuts this tree; clone the repository instead")
+        files = [(x["path"], x["sha"]) for x in tree["tree"] if x["type"] == "blob" and (not self.extensions or x["path"].endswith(self.extensions))]
+        return [InputPartition(files[i : i + self.batch]) for i in range(0, len(files), self.batch)]
+
+    def read(self, partition: InputPartition):
+        for path, sha in partition.value:
+            try:
+                yield path, sha, base64.b64decode(self._get(f"git/blobs/{sha}")["content"]).decode("utf-8")
+            except UnicodeDecodeError:
+                continue

@@ -197,3 +197,17 @@ def append_log(rows: DataFrame, path: str) -> None:
 def backup(spark: SparkSession, table: str, to: str) -> None:
     """A copy of a table's folder; the target must not exist."""
     spark.read.parquet(table).write.mode("error").parquet(to)
+
+
+def restore(spark: SparkSession, copy: str, to: str, schema: str | None = None) -> None:
+    """A backup written back over a table's folder; with `schema`, brought to it first. The copy must be readable before anything is lost."""
+    rows = spark.read.parquet(copy)
+    rows = migrated(rows, schema) if schema else rows
+    rows.count()
+    rows.write.mode("overwrite").parquet(to)
+
+
+def migrated(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows in a newer schema: columns that are missing are null, types are cast, columns that it lacks go."""
+    wanted = T.StructType.fromDDL(schema)
+    return rows.select(*((F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
