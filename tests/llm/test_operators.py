@@ -139,6 +139,12 @@ def test_edit_distance():
         b = changed(rng, a, 4) if a and k % 2 else "".join(rng.choice("ab") for _ in range(rng.randint(0, 12)))
         d, most = edits(a, b), rng.randint(0, 6)
         assert line_dedup.edit_distance(a, b, most) == (d if d <= most else None)
+    pairs = []
+    for k in range(3000):
+        a = "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 1500) if k % 9 == 0 else rng.randint(1, 300)))
+        pairs.append((a, changed(rng, a, 3 + len(a) // 25)))
+    want = [line_dedup.edit_distance(a, b, int(line_dedup.limit(min(len(a), len(b))))) for a, b in pairs]
+    assert line_dedup.edit_distances(pairs) == want and None in want and len(set(want)) > 20 and line_dedup.edit_distances([]) == []
 
 
 @pytest.mark.parametrize("level", [1, 2])
@@ -559,13 +565,20 @@ def test_chunks_hold_whole_pretokens():
     rng, pattern = random.Random(17), regex.compile(token_counts.PATTERN)
     v = token_counts.vocabulary()
     counting = token_counts.Counting(v)
+    texts = []
     for _ in range(3000):
-        text = "".join(rng.choice(["a", "the", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f ", "\u2028", "\xa0", "\x85", "'s", "'", "12", "é", "!?", "日本", "\u3000", "\u200b"]) for _ in range(rng.randint(0, 14)))
+        text = "".join(rng.choice(["a", "the", "Ärger,", "x.", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f ", "\u2028", "\xa0", "\x85", "'s", "'", "12", "é", "!?", "日本", "\u3000", "\u200b"]) for _ in range(rng.randint(0, 14)))
         pieces = pattern.findall(text)
         assert counting.count(text) == (sum(len(token_counts.merge(p.encode(), v.rank)) for p in pieces), len(pieces), sum(p in v.whole for p in pieces)), repr(text)
+        texts.append(text)
+    import pyarrow as pa
+
+    assert [tuple(r) for r in counting.counts(pa.array([*texts, None, "", " "]).slice(1)).tolist()] == [counting.count(t) for t in [*texts[1:], None, "", " "]]
     assert [c for c in map(chr, range(0x11000)) if bool(regex.match(r"\s", c)) != (c.isspace() and c not in token_counts._SEPARATORS)] == []
-    few = token_counts._Remembered(len)
-    assert all(few[str(k)] == len(str(k)) for k in range(2 * token_counts._REMEMBERED + 9)) and len(few) <= token_counts._REMEMBERED
+    counting.chunks = dict.fromkeys(map(str, range(token_counts._REMEMBERED)), -1)
+    assert counting.count("forgetting nothing") == token_counts.Counting(v).count("forgetting nothing") and len(counting.chunks) == 2
+    pieces = [bytes(rng.choice(b"theandoin \xc3\xa9\xe6\x97\xa5!?0") for _ in range(rng.randint(1, 90))) for _ in range(2000)]
+    assert token_counts.merged_sizes(pieces, v).tolist() == [len(token_counts.merge(p, v.rank)) for p in pieces] and len(token_counts.merged_sizes([], v)) == 0
 
 
 def test_token_counts_odd(spark):
@@ -789,3 +802,24 @@ def test_pipeline_stages_against_brute_force(spark):
         packed = {i for r in seen["packing"].collect() for i in r["doc_ids"]}
         assert {i for i in packed if i < 10_000} == {1, 3, 4}
         assert tuples(corpus_pipeline.run(spark, d), "group_id", "bin", "used") == tuples(seen["packing"], "group_id", "bin", "used")
+
+
+@pytest.mark.parametrize("kind", ["clashes", "empty"])
+def test_pipeline_on_odd_documents(spark, tmp_path, kind):
+    """Null ids, empty and repeated texts, and columns named as the operators' own; and no documents, labels or benchmark at all."""
+    df = docs_of(spark, [*ODD, (7, "a line that stands in two documents, word by word\nmore", "s"), (8, "a line that stands in two documents, word by word", "s")])
+    df = df.limit(0) if kind == "empty" else df
+    spark.createDataFrame([] if kind == "empty" else [(None, 1), (7, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([] if kind == "empty" else [(None, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = df
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert now.columns == df.columns
+            own = {r["key"] for r in now.collect()}
+            assert own == (set() if kind == "empty" else {"own-key"})
+            ids = {r["doc_id"] for r in now.collect()}
+            assert kind == "empty" or ids == ({None, 1, 2, 3, 4, 5, 7, 8} if name == "toxicity" else {None, 1, 2, 3, 4, 5, 7})
+    packed = {i for r in now.collect() for i in r["doc_ids"]}
+    assert packed == (set() if kind == "empty" else {None, 3, 4, 5, 7})

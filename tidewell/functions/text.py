@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that keyword search ignores, in alphabetical order.
+#: The word lists below define what is a term, a filler and an intent: results agree with other engines of this kind only by these very sets.
 STOP = sorted(
     "a an and are as at be been being but by can could did do does for from had has have he her him his i if in into is it its just may me might must my not of on or our shall she should so than that the their them then these they this those to too very was we were what which who will with would you your".split()  # noqa: E501
 )
