@@ -7,6 +7,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -823,3 +824,19 @@ def test_pipeline_on_odd_documents(spark, tmp_path, kind):
             assert kind == "empty" or ids == ({None, 1, 2, 3, 4, 5, 7, 8} if name == "toxicity" else {None, 1, 2, 3, 4, 5, 7})
     packed = {i for r in now.collect() for i in r["doc_ids"]}
     assert packed == (set() if kind == "empty" else {None, 3, 4, 5, 7})
+
+
+def test_line_postings_meet_alike_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    lines = [" ".join(rng.choice(words, 12)) for _ in range(300)]
+    lines += [x[:20] + "#" + x[20:] for x in lines]
+    blobs = list(line_dedup._post(2, 1)([pa.record_batch([pa.array(["\n".join(lines)])], names=["text"])]))
+    table = pa.Table.from_batches(blobs).sort_by("pid").combine_chunks()
+
+    def met(most: int) -> set:
+        monkeypatch.setattr(line_dedup, "_SLICE", most)
+        return {r for b in line_dedup._meet(iter(table.to_batches())) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+    assert met(100) == met(10**9) != set()
+    assert list(line_dedup._meet(iter([]))) == []

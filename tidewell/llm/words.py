@@ -7,7 +7,10 @@ they agree between the driver and any worker.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
+import pyarrow as pa
 
 WORD = r"[0-9a-z\u0080-\U0010ffff]+"
 _RNG = np.random.default_rng(20240531)
@@ -40,6 +43,14 @@ def held(key, make):
     return _HELD[key]
 
 
+def release() -> None:
+    """Forgets what this worker holds; operators without a model of their own begin so, after those that have one."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))
