@@ -174,6 +174,24 @@ def test_graph(spark):
     assert graph.named_entities("Ada Lovelace met The Analytical Society Members here") == [("ada", "Ada"), ("lovelace", "Lovelace"), ("the analytical society members", "The Analytical Society Members")]
 
 
+def test_path_confidence_rounds_as_sql(spark):
+    """Products that lie on a half of the sixth digit, where a power of the decay, or decimals, round the other way."""
+    from types import SimpleNamespace
+
+    import duckdb
+
+    from tidewell.plans import graph as plans
+    from tidewell.plans import registry
+
+    rows = [(0, 15.0, 0.03, 0.05), (1, 28.0, 0.03, 0.05), (2, 11.0, 0.05, 0.05), (3, 35.0, 0.03, 0.05), (4, 17.0, 0.02, 0.07), (5, 40.0, 0.06, 0.0)]
+    lineitem = spark.createDataFrame([(k, 1, *r) for k, *r in rows], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem (l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_discount DOUBLE, l_tax DOUBLE)")
+    con.executemany("INSERT INTO lineitem VALUES (?, 1, ?, ?, ?)", rows)
+    want = sorted(con.execute(registry.oracle_sql()["path_confidence"]).fetchall())
+    assert sorted(map(tuple, plans.path_confidence(SimpleNamespace(lineitem=lineitem)).collect())) == want
+
+
 def test_translation_embeddings(spark):
     """Trained in three parts, the true tail of each head is among the first; predictions and ranks agree with NumPy."""
     triples = [(f"a{i}", "r", f"b{i}", 1.0) for i in range(20)]
