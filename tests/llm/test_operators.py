@@ -840,3 +840,24 @@ def test_line_postings_meet_alike_in_slices(monkeypatch):
 
     assert met(100) == met(10**9) != set()
     assert list(line_dedup._meet(iter([]))) == []
+
+
+def test_names_tell_chance_meetings_from_near_lines():
+    """Lines that share a segment and their length, but not their letters, end where they meet; near ones never do."""
+    rng = random.Random(18)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    near = lambda a, b: line_dedup._near(*np.split(line_dedup._names([a, b], np.array([line_dedup.line_hash(x) for x in (a, b)], np.uint64)), 2))[0]
+    for k in range(300):
+        a = letters(rng.randint(30, 700), "abcdefgh é")
+        b = changed(rng, a, int(line_dedup.limit(len(a))))
+        if a != b and line_dedup.edit_distance(a, b, int(line_dedup.limit(min(len(a), len(b))))) is not None:
+            assert near(a, b) and near(b, a)
+    head = "a segment that both share"
+    assert not any(near(head + letters(60, "aeiou"), head + letters(60, "bcdfg")) for _ in range(50))
+
+
+def test_hot_groups_hand_few_pairs_of_lines(spark):
+    """A line is compared in its own class, and in the one before only where that may hold a shorter near copy."""
+    lines = ["x" * n for n in (20, 22, 23, 29, 300, 320, 340)]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(F.char_length("line").alias("n"), line_dedup._compared(F.char_length("line")).alias("c"))
+    assert {r["n"]: r["c"] for r in got.collect()} == {20: [0], 22: [1, 0], 23: [1], 29: [1], 300: [11], 320: [12, 11], 340: [12]}
