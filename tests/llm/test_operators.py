@@ -861,3 +861,19 @@ def test_hot_groups_hand_few_pairs_of_lines(spark):
     lines = ["x" * n for n in (20, 22, 23, 29, 300, 320, 340)]
     got = spark.createDataFrame([(x,) for x in lines], "line string").select(F.char_length("line").alias("n"), line_dedup._compared(F.char_length("line")).alias("c"))
     assert {r["n"]: r["c"] for r in got.collect()} == {20: [0], 22: [1, 0], 23: [1], 29: [1], 300: [11], 320: [12, 11], 340: [12]}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    import time
+
+    from tidewell.session import written
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in str(disk.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in x}
+    before = files()
+    written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left
