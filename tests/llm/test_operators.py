@@ -877,3 +877,18 @@ def test_written_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.2)
     assert not left
+
+
+def test_url_labels_are_made_once(spark):
+    """Labels may come from whole pages; a null page has none."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def bad(n):
+        made.add(1)
+        return n % 2
+
+    pages = spark.createDataFrame([(k, f"https://a{k % 7}.example/{k}") for k in range(80)], "page_id long, url string")
+    assert url_filter.url_scores(pages, pages.select("url", bad("page_id").alias("bad"))).count() == 80 and made.value == 80
+    html = spark.createDataFrame([(0, None), (1, "<p>fine words</p>"), (2, "<script>!! ### !!</script>plain"), (3, "<b>go!! now!!</b> ###"), (4, "")], "k int, html string")
+    assert dict(html.select("k", url_filter.junk_page()).collect()) == {0: None, 1: 0, 2: 0, 3: 1, 4: 0}

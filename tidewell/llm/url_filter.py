@@ -148,7 +148,8 @@ def junk_page(html: str = "html") -> Column:
     """1 for a page whose visible words carry runs of signs or are shouted: the label where no list of URLs is given."""
     text = F.regexp_replace(F.col(html), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = F.size(F.split(F.trim(text), r"\s+"))
-    return F.when(F.col(html).isNotNull(), (F.regexp_count(text, F.lit(r"[*%$#&]{3}|!!")) > 0.05 * words).cast("int"))
+    # Null for a null page; without a branch for it, Spark makes the text once for both uses.
+    return (F.regexp_count(text, F.lit(r"[*%$#&]{3}|!!")) > 0.05 * words).cast("int")
 
 
 @F.arrow_udf(T.StringType())
@@ -197,6 +198,8 @@ def url_scores(pages: DataFrame, labelled: DataFrame, reject: float = REJECT, tr
     ids are reported as they come, ids are of any type. Without labels of both
     kinds all get one score. An empty table gives no rows.
     """
+    # Labels may be costly to make, and are read four times.
+    labelled = written(labelled.select("url", F.col("bad").cast("int").alias("bad")), "labelled")
     model = pages.sparkSession.sparkContext.broadcast(trees or fit(labelled, pages))
     rows, prior = with_suffixes(pages.select("page_id", "url"), pages, labelled)
 
