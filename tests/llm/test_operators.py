@@ -892,3 +892,16 @@ def test_url_labels_are_made_once(spark):
     assert url_filter.url_scores(pages, pages.select("url", bad("page_id").alias("bad"))).count() == 80 and made.value == 80
     html = spark.createDataFrame([(0, None), (1, "<p>fine words</p>"), (2, "<script>!! ### !!</script>plain"), (3, "<b>go!! now!!</b> ###"), (4, "")], "k int, html string")
     assert dict(html.select("k", url_filter.junk_page()).collect()) == {0: None, 1: 0, 2: 0, 3: 1, 4: 0}
+
+
+def test_tokens_alone_are_those_of_all_counts(tmp_path):
+    """Packing asks for tokens alone; texts with white space of every kind go the slow way."""
+    import base64
+
+    strings = [bytes([k]) for k in range(256)] + [b"ab", b" a", b" ab", b"abc"]
+    (tmp_path / "v").write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % k for k, x in enumerate(strings)))
+    counting = token_counts.Counting(token_counts.vocabulary(str(tmp_path / "v")))
+    texts = pa.array(["ab abc, cab", "", None, "  a \x1c b\n", " ab", "abc" * 40])
+    every, alone = counting.counts(texts), counting.counts(texts, 1)
+    assert every.shape == (6, 3) and (every[:, :1] == alone).all() and every[:, 0].tolist()[1:3] == [0, 0]
+    assert [counting.count(x.as_py()) for x in texts] == [tuple(r) for r in every.tolist()]

@@ -270,48 +270,48 @@ class Counting:
         total = sum(self.packed(found))
         return total & _LOW, total >> _WIDE & _LOW, total >> 2 * _WIDE
 
-    def counts(self, texts: pa.Array) -> np.ndarray:
-        """The counts of many texts, a row of three each."""
+    def counts(self, texts: pa.Array, kinds: int = 3) -> np.ndarray:
+        """The first `kinds` counts of many texts, a row for each."""
         texts = pc.fill_null(texts, "")
         rare = np.asarray(pc.match_substring_regex(texts, _AMID), bool)
         pieces = pc.split_pattern(texts, " ")
         at = np.asarray(pieces.offsets) - pieces.offsets[0].as_py()
         distinct = pieces.flatten().dictionary_encode()
         packed = self.packed([" " + x for x in distinct.dictionary.to_pylist()])
-        own = np.array([[x & _LOW for x in packed], [x >> _WIDE & _LOW for x in packed], [x >> 2 * _WIDE for x in packed]], np.int64)
+        own = np.array([[x >> k * _WIDE & _LOW for x in packed] for k in range(kinds)], np.int64)
         each = own[:, np.asarray(distinct.indices)]
-        total = np.concatenate((np.zeros((3, 1), np.int64), np.cumsum(each, axis=1)), axis=1)
+        total = np.concatenate((np.zeros((kinds, 1), np.int64), np.cumsum(each, axis=1)), axis=1)
         # Nothing stands before a text's first piece.
         out = (total[:, at[1:]] - total[:, at[:-1]] - each[:, at[:-1]]).T
         first = pieces.flatten().take(pa.array(at[:-1])).to_pylist()
         for i, x in enumerate(self.packed([x or " " for x in first])):
             if rare[i]:
-                out[i] = self.count(texts[i].as_py())
+                out[i] = self.count(texts[i].as_py())[:kinds]
             elif first[i]:
-                out[i] += (x & _LOW, x >> _WIDE & _LOW, x >> 2 * _WIDE)
+                out[i] += [x >> k * _WIDE & _LOW for k in range(kinds)]
         return out
 
 
-def _counts(spark: SparkSession, path: str):
-    """The counts of a column of texts, by the vocabulary that the driver read and sends out. Texts are read in slices."""
+def _counts(spark: SparkSession, path: str, names: tuple[str, ...] = ("n_tokens", "n_pretokens", "n_whole")):
+    """The counts of these names (the first ones) of a column of texts, by the vocabulary that the driver read and sends out. Texts are read in slices."""
     sent = spark.sparkContext.broadcast(vocabulary(path))
 
-    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_pretokens", "n_whole")]))
+    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in names]))
     def counted(text: pa.Array) -> pa.Array:
         v = sent.value
         counting = held(("tokens", v.name), lambda: Counting(v))
         size = np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)
         cut = np.flatnonzero(np.diff(np.cumsum(size) // _TOGETHER)) + 1
-        runs = [counting.counts(text.slice(a, b - a)) for a, b in pairwise([0, *cut.tolist(), len(text)]) if b > a]
-        rows = np.concatenate(runs) if runs else np.zeros((0, 3), np.int64)
-        return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["n_tokens", "n_pretokens", "n_whole"])
+        runs = [counting.counts(text.slice(a, b - a), len(names)) for a, b in pairwise([0, *cut.tolist(), len(text)]) if b > a]
+        rows = np.concatenate(runs) if runs else np.zeros((0, len(names)), np.int64)
+        return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(names))], list(names))
 
     return counted
 
 
 def n_tokens(spark: SparkSession, text: str = "text", path: str = VOCABULARY) -> Column:
     """The tokens of a text as a column, those of `token_counts`; 0 for a null or empty one."""
-    return _counts(spark, path)(text).n_tokens
+    return _counts(spark, path, ("n_tokens",))(text).n_tokens
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
