@@ -905,3 +905,27 @@ def test_tokens_alone_are_those_of_all_counts(tmp_path):
     every, alone = counting.counts(texts), counting.counts(texts, 1)
     assert every.shape == (6, 3) and (every[:, :1] == alone).all() and every[:, 0].tolist()[1:3] == [0, 0]
     assert [counting.count(x.as_py()) for x in texts] == [tuple(r) for r in every.tolist()]
+
+
+def test_merging_many_pieces_takes_bounded_memory():
+    """Distinct pieces of a batch are merged part by part; what a worker remembers is bounded, and counts don't depend on it."""
+    import tracemalloc
+
+    v = token_counts.vocabulary()
+    rng = random.Random(21)
+    pieces = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(60_000)]
+    tracemalloc.start()
+    sizes = token_counts.merged_sizes([p.encode() for p in pieces], v)
+    most = tracemalloc.get_traced_memory()[1] >> 20
+    tracemalloc.stop()
+    assert most < 40 and sizes[-5:].tolist() == [len(token_counts.merge(p.encode(), v.rank)) for p in pieces[-5:]]
+
+
+def test_forgetting_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(token_counts, "_REMEMBERED", 100)
+    v = token_counts.vocabulary()
+    counting, plain = token_counts.Counting(v), token_counts.Counting(v)
+    for k in range(40):
+        chunks = [" qzxcommon", *(f" q{k}z{i}" for i in range(60))]
+        assert counting.packed(chunks) == plain.packed(chunks)
+        assert " qzxcommon" in {**counting.old, **counting.chunks} and len(counting.chunks) + len(counting.old) < 1000

@@ -31,8 +31,10 @@ from tidewell.llm.words import held
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens of the byte-level vocabularies: contractions, words, numbers, other signs, white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Chunks, and merged pre-tokens, that a worker remembers before it forgets them all, and how long they may be.
-_REMEMBERED, _SHORT = 600_000, 48
+#: Chunks and pre-tokens that a worker remembers before it forgets those that it met before them alone, and how long they may be.
+_REMEMBERED, _SHORT = 150_000, 48
+#: Pieces that are merged together.
+_MERGED = 8_192
 #: White space as PATTERN has it: the four separators are white space to `re` alone.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _CHUNK, _RARE_CHUNK = re.compile(r"\s*\S+"), re.compile(rf"[^\S{_SEPARATORS}]*[\S{_SEPARATORS}]+")
@@ -41,7 +43,7 @@ _WIDE, _LOW = 40, (1 << 40) - 1
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _AMID = rf"(^|{_WHITE}) ({_WHITE}|$)"
 #: Characters of texts that are split together.
-_TOGETHER = 2_000_000
+_TOGETHER = 1_000_000
 #: Beyond this many bytes, a pre-token is merged by the heap instead of by repeated scans.
 _LONG = 64
 
@@ -176,7 +178,9 @@ def _pair_ranks(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarra
 
 
 def merged_sizes(pieces: list[bytes], v: Vocabulary) -> np.ndarray:
-    """The number of tokens that `merge` gives for each of many pieces: in every round each piece has its best pair merged."""
+    """The number of tokens that `merge` gives for each of many pieces: in every round each piece has its best pair merged. A part of the pieces is worked on at once, since each takes kilobytes."""
+    if len(pieces) > _MERGED:
+        return np.concatenate([merged_sizes(pieces[i : i + _MERGED], v) for i in range(0, len(pieces), _MERGED)])
     out = np.zeros(len(pieces), np.int64)
     size = np.array([len(p) for p in pieces])
     byte = np.array([v.rank.get(bytes([k]), -1) for k in range(256)])
@@ -223,7 +227,21 @@ class Counting:
     def __init__(self, v: Vocabulary):
         self.v, self.pattern = v, regex.compile(PATTERN)
         self.chunks: dict[str, int] = {}
-        self.merged: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def _recall(self, keys: list[str]) -> list[int | None]:
+        """What is remembered of each; what was met before long counts as new again."""
+        known, old = self.chunks, self.old
+        out = list(map(known.get, keys))
+        if old:
+            for i, x in enumerate(out):
+                if x is None and (x := old.get(keys[i])) is not None:
+                    out[i] = known[keys[i]] = x
+        return out
+
+    def _remember(self, key: str, x: int) -> None:
+        if len(key) <= _SHORT:
+            self.chunks[key] = x
 
     def _pieces(self, chunk: str) -> list[str]:
         # A blank, letters, and perhaps one other sign: what the pattern gives is plain.
@@ -236,28 +254,25 @@ class Counting:
 
     def packed(self, chunks: list[str]) -> list[int]:
         """(tokens, pre-tokens, whole ones) of each chunk in one number; what is short is remembered."""
-        known = self.chunks
-        out = [known.get(c) for c in chunks]
+        out = self._recall(chunks)
         new = [i for i, x in enumerate(out) if x is None]
         if not new:
             return out
         pieces = [self._pieces(chunks[i]) for i in new]
-        whole, merged = self.v.whole, self.merged
-        need = [p for p in {p for ps in pieces for p in ps} if p not in whole and p not in merged]
-        sizes = dict(zip(need, merged_sizes([p.encode("utf-8", "surrogatepass") for p in need], self.v).tolist(), strict=True))
+        whole = self.v.whole
+        if len(self.chunks) >= _REMEMBERED:
+            self.old, self.chunks = self.chunks, {}
+        # A pre-token is a chunk of one piece, and is remembered as one.
+        need = list({p for ps in pieces for p in ps if p not in whole})
+        sizes = {p: x & _LOW for p, x in zip(need, self._recall(need), strict=True) if x is not None}
+        need = [p for p in need if p not in sizes]
+        for p, n in zip(need, merged_sizes([p.encode("utf-8", "surrogatepass") for p in need], self.v).tolist(), strict=True):
+            sizes[p] = n
+            self._remember(p, n | 1 << _WIDE)
         for i, ps in zip(new, pieces, strict=True):
-            tokens = direct = 0
-            for p in ps:
-                if p in whole:
-                    direct += 1
-                else:
-                    n = sizes.get(p)
-                    tokens += merged[p] if n is None else n
-            out[i] = tokens + direct | len(ps) << _WIDE | direct << 2 * _WIDE
-        for held, add in ((merged, sizes.items()), (known, ((chunks[i], out[i]) for i in new))):
-            if len(held) >= _REMEMBERED:
-                held.clear()
-            held.update((k, x) for k, x in add if len(k) <= _SHORT)
+            direct = sum(p in whole for p in ps)
+            out[i] = sum(sizes[p] for p in ps if p not in whole) + direct | len(ps) << _WIDE | direct << 2 * _WIDE
+            self._remember(chunks[i], out[i])
         return out
 
     def count(self, text: str | None) -> tuple[int, int, int]:
