@@ -929,3 +929,20 @@ def test_forgetting_keeps_what_is_met_again(monkeypatch):
         chunks = [" qzxcommon", *(f" q{k}z{i}" for i in range(60))]
         assert counting.packed(chunks) == plain.packed(chunks)
         assert " qzxcommon" in {**counting.old, **counting.chunks} and len(counting.chunks) + len(counting.old) < 1000
+
+
+def test_segments_count_from_the_nearer_end():
+    """Fewer postings a line, each name in fewer bytes, hot keys together in few batches."""
+    rng = random.Random(22)
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(280, 330))) for _ in range(200)]
+    assert len(line_dedup.entries(lines)[0]) < 20 * len(lines)
+    blobs = list(line_dedup._post(3, 1)(iter([pa.record_batch([pa.array(lines)], ["line"])])))
+    size = sum(len(x) for b in blobs for x in b.column(1).to_pylist()) // 4
+    assert sum(len(x) for b in blobs for x in b.column(2).to_pylist()) <= 8.5 * size + 8 * len(blobs)
+    names = np.sort(np.array([rng.getrandbits(64) for _ in range(1001)], np.uint64))
+    assert (line_dedup._unpacked(np.frombuffer(line_dedup._packed(names), np.uint8), len(names)) == names).all()
+    heads = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(100)) for _ in range(30)]
+    hot = [h + "".join(rng.choice("abcdefghijklmnop ") for _ in range(60)) for h in heads for _ in range(40)]
+    blobs = pa.Table.from_batches(list(line_dedup._post(1, 1)(iter([pa.record_batch([pa.array(hot)], ["line"])])))).sort_by("pid").combine_chunks()
+    met = [b for b in line_dedup._meet(iter(blobs.to_batches())) if b.num_rows and b.column(0)[0].as_py()]
+    assert len({x for b in met for x in b.column(0).to_pylist()}) >= 30 and len(met) < 5
