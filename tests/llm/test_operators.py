@@ -946,3 +946,31 @@ def test_segments_count_from_the_nearer_end():
     blobs = pa.Table.from_batches(list(line_dedup._post(1, 1)(iter([pa.record_batch([pa.array(hot)], ["line"])])))).sort_by("pid").combine_chunks()
     met = [b for b in line_dedup._meet(iter(blobs.to_batches())) if b.num_rows and b.column(0)[0].as_py()]
     assert len({x for b in met for x in b.column(0).to_pylist()}) >= 30 and len(met) < 5
+
+
+def test_keys_meet_in_rounds(spark, tmp_path, monkeypatch):
+    """Each round posts about half of the keys, all rounds post every key once, and they find the same lines, be the lengths mixed or all of one class."""
+    rng = random.Random(23)
+    posted, post = [], line_dedup._post
+    monkeypatch.setattr(line_dedup, "_post", lambda parts, level, *where: posted.append((level, *where)) or post(parts, level, *where))
+    for name, words in (("mixed", range(3, 40)), ("one", [12])):
+        base = [sentence(rng, rng.choice(words)) for _ in range(60)]
+        if name == "one":
+            base = [x.ljust(70, "k")[:70] for x in base]
+        rows = [(i, "\n".join(changed(rng, rng.choice(base), 2) for _ in range(4)), "s") for i in range(80)]
+        docs_of(spark, rows).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        monkeypatch.setattr(line_dedup, "ONE_ROUND", 0)
+        posted.clear()
+        got = tuples(line_dedup.duplicate_lines(docs), "doc_id", "line_no", "dup_doc_id", "dup_line_no", "distance")
+        far = lambda a, b: 10**6 if (d := line_dedup.edit_distance(a, b, int(line_dedup.limit(min(len(a), len(b)))))) is None else d
+        assert got == brute_lines(rows, far) and len(got) > 100
+        rounds = [x for x in posted if x[0] == 1]
+        assert len(rounds) == line_dedup.ROUNDS and len({start for _, _, start in rounds}) == len(rounds)
+        lines = sorted({x.strip(" ") for _, t, _ in rows for x in t.split("\n")})
+        keys = lambda *span: list(zip(*(x.tolist() for x in line_dedup.entries(lines, 1, *span)), strict=True))
+        parts = [keys(span) for _, span, _ in rounds]
+        assert sorted(x for p in parts for x in p) == sorted(keys()) and max(map(len, parts)) < 0.65 * len(keys())
+        for (_, span, _), part in zip(rounds, parts, strict=True):
+            low, beyond = line_dedup._lengths(span)
+            assert all(low <= len(lines[i]) < beyond for i, _, _ in part)
