@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.embed import mock_vectors
@@ -48,13 +47,19 @@ def load_csv_row_docs(t):
     return rows.select("content", "id", F.col("metadata")["c_name"].alias("name"))
 
 
+#: Events in a JSON file.
+_FILE = 20_000
+
+
 @query("SELECT 'e' || event_id AS id, json_extract_string(props, '$.k') AS content, event_type AS kind FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_props_docs(t):
     """All events, written as JSON objects and loaded by dotted paths."""
     at = _folder(t, "json")
     one = F.to_json(F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("key"), F.col("event_type").alias("kind"), F.from_json("props", "k bigint").alias("p")))
-    rows = t.events.select(F.concat(F.lit("["), F.array_join(F.collect_list(one).over(W.partitionBy(F.col("event_id") % 64)), ","), F.lit("]")).alias("value"), F.row_number().over(W.partitionBy(F.col("event_id") % 64).orderBy("event_id")).alias("n"), (F.col("event_id") % 64).alias("part")).where("n = 1")
-    rows.select("part", "value").write.partitionBy("part").text(at)
+    # A file is an array, which its reader holds whole: more events make more files, not longer ones.
+    files = max(64, -(-t.events.count() // _FILE))
+    rows = t.events.groupBy(F.pmod("event_id", F.lit(files)).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
+    rows.write.partitionBy("part").text(at)
     return load_json(t.spark, at, "p.k", "key").select("id", "content", F.col("metadata")["kind"].alias("kind"))
 
 
