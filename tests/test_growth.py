@@ -141,3 +141,34 @@ def test_blocks_are_larger_than_arrow_batches(spark):
         assert search._blocks(df, "vec_id", "embedding", "q").count() == 3
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_relations_are_found_in_one_search(spark):
+    """The quicker patterns find what PATTERNS find, each by one search of the text."""
+    rng = random.Random(11)
+    bits = "Ann Bob is the CEO of ceo parent was founded wa by located in part related to taught works at for work xé é_1 , . \n".split(" ") + ["is  in", "İs", "partof", "is the CEO of", "is the PARENT of", "wa founded by"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(bits) for _ in range(rng.randrange(60)))) for i in range(400)] + [(400, None), (401, "")], "doc_id long, text string")
+    want, found = ({tuple(r) for r in graph.extract_relations(docs, p).collect()} for p in (graph.PATTERNS, None))
+    assert want == found and {r[3] for r in found} == set(graph.PATTERNS)
+    assert _plan(graph.extract_relations(docs)).count("regexp_extract_all") == len(graph.PATTERNS)
+
+
+def test_overlap_counts_each_list_once(spark):
+    from collections import Counter
+
+    from tidewell.operators import evaluate
+
+    rng = random.Random(2)
+    a, b = ([f"w{rng.randrange(3000)}" for _ in range(6000)] for _ in range(2))
+    df = spark.createDataFrame([(a, b), (["x"], []), (None, ["x"])], "a array<string>, b array<string>").select(evaluate.token_f1(F.col("a"), F.col("b")).alias("f"))
+    assert [round(r["f"], 9) for r in df.collect()] == [round(2 * (Counter(a) & Counter(b)).total() / 12000, 9), 0, 0]
+    assert "aggregate(" not in _plan(df)
+
+
+def test_adaptive_search_ranks_what_the_last_try_needs(spark):
+    """What is read in the end are the rows that some try may want, already ranked."""
+    from tests.conftest import SMALL
+    from tidewell.plans import registry
+
+    df = registry.queries()["adaptive_search"](spark, SMALL)
+    assert "Window" not in _plan(df) and df.take(1)
