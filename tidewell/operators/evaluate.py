@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,10 +90,15 @@ def _share(part: Column, of: Column) -> Column:
     return F.when(F.size(of) > 0, F.size(F.array_intersect(of, part)) / F.size(of)).otherwise(0.0)
 
 
+@F.arrow_udf("int")
+def _common(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many words two lists have in common, repetitions counted; each list is counted once."""
+    return pa.array([None if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
+
 def token_f1(a: Column, b: Column) -> Column:
     """Harmonic mean of precision and recall of two word lists, repetitions counted."""
-    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(count(a, w), count(b, w)))
+    common = _common(a, b)
     return F.when((F.size(a) > 0) & (F.size(b) > 0), 2 * common / (F.size(a) + F.size(b))).otherwise(0.0)
 
 
